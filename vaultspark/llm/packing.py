@@ -17,8 +17,8 @@ from vaultspark.llm.tokenizer import VOCABULARY, token_count
 from vaultspark.session import cut
 
 CAPACITY = 2048
-#: Large sizes are rounded up within this many groups of equal cardinality.
-GROUPS = 96
+#: Large sizes are rounded up within so many groups of equal cardinality; the plan with the fewest containers counts.
+GROUPS = (48, 64, 80)
 #: Items up to capacity / SMALL are small: they are filled in by best fit.
 SMALL = 3
 _RANK = 1 << 44
@@ -83,7 +83,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return chosen + [(pattern, 1) for _, pattern in rest]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int, groups: int, small: int | None = None) -> np.ndarray:
     """Rows (size, rank, n, container, place, offset): the items of that size with ranks rank .. rank + n - 1 go, one each, into
     the containers container .. container + n - 1, as number place, at that offset. Sorted by size and rank; every rank of
     every size is covered once. The number of rows depends on the capacity and the groups, not on the number of items.
@@ -104,9 +104,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         ends = np.cumsum(hist[large])  # of each size in the order of falling sizes
         starts = ends - hist[large]
         total = int(ends[-1])
-        cuts = sorted({int(starts[np.searchsorted(ends, total * g // groups, "right")]) if hist[large].max() * groups > total * 4 else total * g // groups for g in range(groups)} | {0})
-        bounds = [*cuts, total]
         size_at = lambda r: large[int(np.searchsorted(ends, r, "right"))]
+        cuts = sorted({total * g // groups for g in range(groups)})
+        cuts = [c for i, c in enumerate(cuts) if i == 0 or size_at(c) < size_at(cuts[i - 1])]  # a size that fills groups is one group
+        bounds = [*cuts, total]
         g_size = np.array([size_at(b) for b in bounds[:-1]])
         g_n = np.diff(bounds)
         taken = np.array(bounds[:-1], np.int64)
@@ -183,7 +184,7 @@ def ranked(items: DataFrame, buckets: int) -> DataFrame:
     return numbered.join(starts, ["size", "bucket"]).withColumn("rank", F.col("start") + F.col("rn") - 1).drop("bucket", "rn", "start")
 
 
-def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, container, place, offset) of texts (doc_id, n_tokens).
 
     token_start and n_tokens say which tokens of the text the piece holds; place is its number and offset its first
@@ -194,7 +195,7 @@ def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS)
     spark = sized.sparkSession
     items = cut(pieces(sized.select("doc_id", "n_tokens"), capacity))
     histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    p = plan(histogram, capacity, groups)
+    p = min((plan(histogram, capacity, g) for g in groups), key=lambda rows: int((rows[:, 2] + rows[:, 3]).max(initial=0)))
     keys, rank0 = p[:, 0] * _RANK + p[:, 1], p[:, 1]
     target = StructType([StructField(n, LongType()) for n in ("container", "place", "offset")])
 
@@ -209,6 +210,6 @@ def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS)
     return out.select("doc_id", "piece", "token_start", "n_tokens", "at.container", "at.place", "at.offset")
 
 
-def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """pack_sizes of documents.text, measured in tokens of the vocabulary."""
     return pack_sizes(documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("n_tokens")), capacity, groups)

@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vaultspark.llm import packing, spans, tokenizer
+from vaultspark.llm import packing, quantiles, spans, splitting, tokenizer
 from vaultspark.sources.tables import table
 
 
+def p3_found(spark, d):
+    return splitting.natural_boundaries(table(spark, d, "hits"))
+
+
+def p3_pieces(spark, d):
+    return splitting.pieces(table(spark, d, "hits"))
+
+
+def p6_percentiles(spark, d):
+    return quantiles.percentiles(table(spark, d, "tool_calls"))
+
+
+def p6_daily(spark, d):
+    """Percentiles of each day alone, from the sketches that p6_percentiles combines."""
+    return quantiles.answers(quantiles.daily_sketches(table(spark, d, "tool_calls")), "day", "tool", "collection")
+
+
 def p7_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -27,5 +44,5 @@ def p9_shared(spark, d):
     return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).join(n, "doc_id", "left").na.fill(0, ["n_shared", "n_spans"])
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_percentiles, p6_daily, p7_ids, p8_containers, p9_found, p9_shared)}
 ORACLES: dict[str, str] = {}
