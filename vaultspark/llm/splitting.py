@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
 #: Code points that no text may contain (Unicode noncharacters) stand for the line ends before headings and paragraphs.
-_HEAD, _PARA, _TAKEN = "﷐", "﷑", "﷒"
+_HEAD, _PARA = "﷐", "﷑"
 
-_CLOSE = r"[ \t]*\r?(?:\n|\z)"
+_CLOSE = r"[ \t]*(?:\r?\n|\z)"
 #: A code fence with its opening and closing line (an open one lasts to the end of the text), or one line. All repeated
 #: parts are single character classes, which the JVM repeats without recursion, whatever the length of a text.
 _TOKEN = (
@@ -23,8 +23,8 @@ _TOKEN = (
     r"| {0,3}(~{3,})[^\n]*(?:\n(?:[\s\S]*?(?<=\n) {0,3}\2~*" + _CLOSE + r"|[\s\S]*\z)|\z)"
     r"|[^\n]*\n|[^\n]+\z"
 )
-_BLANK = r"\A[ \t]*\r?\n?\z"
-_HEADING = r"\A {0,3}#{1,6}(?:[ \t]|\r?\n?\z)"
+_BLANK = r"\A[ \t]*(?:\r?\n)?\z"
+_HEADING = r"\A {0,3}#{1,6}(?:[ \t]|(?:\r?\n)?\z)"
 _FENCE = r"\A {0,3}(?:`{3,}[^`\n]*(?:\n|\z)|~{3})"
 
 
