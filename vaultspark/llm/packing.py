@@ -165,7 +165,8 @@ def pieces(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, token_start, size) of texts (doc_id, n_tokens); only a text above the capacity has several pieces."""
     n = F.coalesce("n_tokens", F.lit(0))
     count = F.ceil(n / F.lit(capacity)).cast("int")
-    cut_up = sized.where(n > 0).select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
+    # No filter on n_tokens: it would be pushed below the projection that counts tokens, and count them twice.
+    cut_up = sized.select("doc_id", "n_tokens", F.explode(F.when(n > 0, F.sequence(F.lit(0), count - 1))).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     return cut_up.select("doc_id", "piece", start.alias("token_start"), F.least(F.lit(capacity), F.col("n_tokens") - start).cast("int").alias("size"))
 
