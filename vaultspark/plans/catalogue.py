@@ -10,8 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import text as tx
-from vaultspark.operators import browse, rules, search, telemetry, versions
+from vaultspark.operators import browse, mutate, rules, search, telemetry, versions
 from vaultspark.operators import predicates as pr
+from vaultspark.sources import formats
 from vaultspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -658,3 +659,69 @@ def note_formats(spark, d):
 @query("SELECT doc_id, md5(regexp_replace(text, '(?s)^---\\r?\\n.*?\\r?\\n---[ \\t]*(?:\\r?\\n|\\z)', '')) AS body FROM documents WHERE text IS NOT NULL")
 def strip_frontmatter(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", F.md5(tx.body(F.col("text"))).alias("body"))
+
+
+# --- parsers, edits, streams -------------------------------------------------------------------------------------------
+
+
+@query()
+def chunk_index(spark, d):
+    """All chunks of all documents: sections, table headers and rows, diagrams."""
+    return formats.chunk_rows(docs(spark, d))
+
+
+@query()
+def section_chunks(spark, d):
+    return docs(spark, d).where("doc_kind in ('note', 'log', 'chat', 'stub')").select("doc_id", F.explode(formats.sections("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def gfm_tables(spark, d):
+    return formats.table_rows(docs(spark, d)).select("path", "table", "row_index", F.explode("cells").alias("header", "cell"))
+
+
+@query()
+def mermaid_graph(spark, d):
+    return docs(spark, d).where("doc_kind = 'mermaid'").select("doc_id", formats.diagram("text").alias("g")).select("doc_id", F.explode("g.edges").alias("e")).select("doc_id", "e.*")
+
+
+@query()
+def frontmatter_catalog(spark, d):
+    return docs(spark, d).select("path", formats.frontmatter("text", "path").alias("frontmatter")).where("frontmatter is not null")
+
+
+@query()
+def patch_ops(spark, d):
+    n = docs(spark, d).where("text is not null and path is not null and doc_kind = 'note'").select("path", "text")
+    ops = '[{"op": "set_field", "field": "review.state", "value": "open"}, {"op": "append_eof", "text": "## Log"}]'
+    done = mutate.patch_notes(n, n.select("path", F.lit(ops).alias("ops")))
+    return done.select("path", F.array_join("results", ",").alias("results"), "changed", F.sha2("text", 256).alias("h"))
+
+
+@query()
+def table_ops(spark, d):
+    n = docs(spark, d).where("text is not null and path is not null and doc_kind = 'note'").select("path", "text")
+    done = mutate.patch_notes(n, n.select("path", F.lit('[{"op": "append_row", "table": 0, "values": ["new"]}]').alias("ops")))
+    return done.groupBy(F.array_join("results", ",").alias("results")).agg(F.count("*").alias("n"), F.sum(F.col("changed").cast("int")).alias("n_changed"))
+
+
+@query()
+def merge_sections(spark, d):
+    n = docs(spark, d).where("text is not null and path is not null and doc_kind = 'note'").select("path", "text", "doc_id")
+    ours = n.select("path", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n\n# Ours\nx"))).otherwise(F.col("text")).alias("text"))
+    theirs = n.select("path", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\n\n# Theirs\ny"))).otherwise(F.col("text")).alias("text"))
+    return mutate.merge_notes(n, ours, theirs).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_debounce_available_now(spark, d):
+    """The debounce over events as a stream, run to its end: the runs that the watermark has closed."""
+    from vaultspark.session import shared_folder
+    from vaultspark.streaming.debounce import quiet_periods
+
+    events = table(spark, d, "events")
+    source = spark.readStream.schema(events.schema).format("parquet").load(f"{d}/events.parque[t]")
+    quiet = quiet_periods(source, "user_id", "ts", "6 hours", "1 second")
+    folder = shared_folder(spark, "debounce")
+    quiet.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(quiet.schema).parquet(f"{folder}/out")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where neither that setting nor a folder
-    set earlier exists (a local session, as in tests) a temporary folder is taken; on a cluster that is an error,
-    since a folder of one machine does not survive that machine.
+    It is the one the cluster names in spark.checkpoint.dir, or one set earlier. Only in a local session without either, as in
+    tests, a temporary folder is taken; on a cluster that is an error, since a folder of one machine is lost with it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if named:
@@ -45,4 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"vaultspark-{os.getpid()}-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
