@@ -14,17 +14,17 @@ def nearest_delivered(trees: DataFrame, delivered: DataFrame) -> DataFrame:
     trees: tree_oid, parent_oid (a tree built again has several rows; a null parent or one without a row ends the line).
     delivered: tree_oid, distinct. Ancestors that were not delivered are skipped by pointer jumping: each round at
     least doubles the step over them, so the rounds are the logarithm of the longest run of undelivered trees.
-    A cycle among undelivered trees ends the line.
+    Parents in a circle, which no real history has, end after as many rounds; no tree is its own ancestor.
     """
     there = delivered.select(F.col("tree_oid").alias("d_oid"))
     parents = trees.where("tree_oid is not null").groupBy("tree_oid").agg(F.max("parent_oid").alias("parent_oid"))
     up = cut(parents.join(there, parents.tree_oid == there.d_oid, "left").select("tree_oid", F.col("d_oid").isNotNull().alias("own"), F.col("parent_oid").alias("to")))
-    for _ in range(62):
+    for _ in range(up.count().bit_length() + 1):
         skip = up.where("not own").select(F.col("tree_oid").alias("to"), F.col("to").alias("next"), F.lit(True).alias("hop"))
         up = cut(up.join(skip, "to", "left").select("tree_oid", "own", F.when(F.col("hop"), F.col("next")).otherwise(F.col("to")).alias("to"), F.col("hop").isNotNull().alias("moved")))
         if up.where("moved and to is not null").isEmpty():
             break
-    up = up.where("own and to is not null").select("tree_oid", F.col("to").alias("from_oid"))
+    up = up.where("own and to is not null and to <> tree_oid").select("tree_oid", F.col("to").alias("from_oid"))
     return up.join(there, up.from_oid == there.d_oid, "left_semi")
 
 
@@ -41,7 +41,7 @@ def chains(edges: DataFrame, delivered: DataFrame) -> DataFrame:
     ranked = cut(delivered.select("tree_oid").join(ranked, "tree_oid", "left"))
     at = ranked.select("tree_oid", F.when(F.col("first"), F.col("from_oid")).alias("to"), F.when(F.col("first"), 1).otherwise(0).cast("long").alias("steps"), F.when(~F.col("first"), F.col("from_oid")).alias("base"))
     head = at.select("tree_oid", F.col("tree_oid").alias("chain"), "to", "steps")
-    for _ in range(62):
+    for _ in range(head.count().bit_length() + 1):
         if head.where("to is not null").isEmpty():
             break
         far = head.select(F.col("tree_oid").alias("to"), F.col("chain").alias("far_chain"), F.col("to").alias("far_to"), F.col("steps").alias("far_steps"))
@@ -53,6 +53,7 @@ def chains(edges: DataFrame, delivered: DataFrame) -> DataFrame:
                 (F.col("steps") + F.coalesce("far_steps", F.lit(0))).alias("steps"),
             )
         )
+    head = head.where("to is null")  # trees in a circle have no number
     based = at.where("base is not null").select(F.col("tree_oid").alias("chain"), "base")
     own = head.join(based.select("chain", F.lit(1).alias("shift")), "chain", "left").select("tree_oid", "chain", (F.col("steps") + F.coalesce("shift", F.lit(0))).alias("idx"))
     placed = own.unionByName(based.select(F.col("base").alias("tree_oid"), "chain", F.lit(0).cast("long").alias("idx")))
