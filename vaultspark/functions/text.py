@@ -114,6 +114,21 @@ def cut_at_word(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(cut, r"\s+\z", ""))
 
 
+def snippet(text: Column, terms: list[str], words: int = 24) -> Column:
+    """The stretch of so many words that holds most words with a query term, the first of equals."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    ws = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\s+|\s+\z", ""), r"\s+")
+    spots = lambda w: F.filter(F.transform(w, lambda x, i: F.when(F.arrays_overlap(tokens(x), wanted), i)), lambda i: i.isNotNull())
+
+    def best(w: Column) -> Column:
+        last = F.greatest(F.size(w) - words, F.lit(0))
+        starts = F.sequence(F.lit(0), last)
+        return let(spots(w), lambda s: F.array_max(F.transform(starts, lambda i: F.struct(F.size(F.filter(s, lambda p: (p >= i) & (p < i + words))).alias("n"), (-i).alias("less")))))
+
+    return let(ws, lambda w: F.array_join(F.slice(w, 1 - best(w)["less"], words), " "))
+
+
 def wikilinks(text: Column) -> Column:
     """array<struct<line, key, stem, text>>: each [[link]] with its line from 1, target without .md in lower case, and line."""
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")

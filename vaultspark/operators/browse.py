@@ -115,6 +115,15 @@ def siblings(chunks: DataFrame, id: str = "chunk_id") -> DataFrame:
     return chunks.select("path", id, "chunk_kind", "heading_level", F.lag(id).over(w).alias("prev"), F.lead(id).over(w).alias("next"))
 
 
+def anchors(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """requests (path, chunk_hash, heading, ...) with the heading of the chunk they name, and state: hash, or, where the note has
+    no such chunk any more, heading if the request brings one to fall back on, else stale."""
+    known = chunks.groupBy("path", "chunk_hash").agg(F.min(F.coalesce("heading", F.lit(""))).alias("_found"))
+    j = requests.join(known, ["path", "chunk_hash"], "left")
+    state = F.when(F.col("_found").isNotNull(), "hash").when(F.col("heading").isNotNull(), "heading").otherwise("stale")
+    return j.withColumn("state", state).withColumn("heading", F.coalesce("_found", "heading")).drop("_found")
+
+
 def table_of_contents(chunks: DataFrame, path: str) -> DataFrame:
     """(ord, heading, heading_level, start_line, end_line) of a note's sections in order."""
     return chunks.where((F.col("path") == path) & (F.col("chunk_kind") == "section")).select("ord", "heading", "heading_level", "start_line", "end_line").orderBy("ord")

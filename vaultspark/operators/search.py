@@ -196,6 +196,17 @@ def evaluate(ranking: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     return all_.agg(F.lit(k).alias("k"), F.count("*").alias("n_queries"), F.round(F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)), 6).alias("hit_at_k"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def at_ref(rows: DataFrame, query: str, k: int, offset: int = 0) -> DataFrame:
+    """(path, score): the k best of a full-text search over the notes of one snapshot (path, mtime, frontmatter), with statistics
+    of that snapshot alone. score is 1 / (1 + relevance), as readers of snapshots expect it, so it falls with relevance."""
+    from vaultspark.operators.nested import latest_rows
+
+    one = latest_rows(rows.where("path is not null").select("path", "mtime", "frontmatter"), "path")
+    best = bm25(one, query, k + offset, "path", "frontmatter")
+    page_ = best.orderBy(F.desc("score"), "path").offset(offset) if offset else best
+    return page_.select("path", F.round(ref_score(F.col("score")), 6).alias("score"))
+
+
 def ref_score(rank: Column) -> Column:
     """The score of a full-text hit in a snapshot, from its (negative) rank."""
     return F.lit(1.0) / (F.lit(1.0) + F.abs(rank))

@@ -278,12 +278,12 @@ _FOLD = f"translate(lower(coalesce(text, '')), '{tx.ACCENTED}', '{tx.FOLDED}')"
 _TOK = f"regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _bm25_sql(terms: list[str], every: bool, n: int = 24, scope: str = "true") -> str:
+def _bm25_sql(terms: list[str], every: bool, n: int = 24, scope: str = "true", base: str = "documents") -> str:
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
     part = " + ".join(f"CASE WHEN n - df{i} + 0.5 > df{i} + 0.5 THEN greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) ELSE 1e-6 END * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avg))" for i in range(len(terms)))
     test = (" AND " if every else " OR ").join(f"tf{i} > 0" for i in range(len(terms)))
-    return f"""tok AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), tf AS (SELECT doc_id, lang, len(t) AS dl, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avg, {df} FROM tf),
+    return f"""tok AS (SELECT doc_id, lang, {_TOK} AS t FROM {base}), tf AS (SELECT doc_id, lang, len(t) AS dl, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avg, {df} FROM tf),
 lex AS (SELECT doc_id, round({part}, 6) AS score FROM tf, st WHERE ({test}) AND {scope} ORDER BY score DESC, doc_id LIMIT {n})"""
 
 
@@ -396,6 +396,24 @@ def eval_hit_mrr(spark, d):
     return search.evaluate(r, e, 5)
 
 
+_REF = "(SELECT path AS doc_id, '' AS lang, frontmatter AS text FROM ref_files WHERE tree_oid = (SELECT max(tree_oid) FROM ref_files) QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, frontmatter DESC NULLS LAST) = 1)"
+
+
+@query(f"WITH {_bm25_sql(['open', 'queue', 'tree'], False, 12, 'true', _REF)} SELECT doc_id AS path, round(1 / (1 + score), 6) AS score FROM lex")
+def ref_search(spark, d):
+    files = table(spark, d, "ref_files")
+    tree = files.agg(F.max("tree_oid").alias("t")).scalar()
+    return search.at_ref(files.where(F.col("tree_oid") == tree), "open queue tree", 12)
+
+
+@query(f"""WITH {_bm25_sql(['sensor', 'kiln', 'budget'], False, 10)}, w AS (SELECT doc_id, string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \\t\\n\\x0b\\f\\r]+') AS ws FROM documents JOIN lex USING (doc_id)),
+c AS (SELECT doc_id, ws, i, len(list_filter(list_slice(ws, i, i + 23), lambda x: len(list_intersect(regexp_extract_all(translate(lower(x), '{tx.ACCENTED}', '{tx.FOLDED}'), '[\\p{{L}}\\p{{N}}]+'), ['sensor', 'kiln', 'budget'])) > 0)) AS n FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 23, 1) + 1)) AS i FROM w))
+SELECT doc_id, array_to_string(list_slice(ws, i, i + 23), ' ') AS snippet FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1""")
+def snippets(spark, d):
+    hits = search.bm25(docs(spark, d), "sensor kiln budget", 10).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return hits.select("doc_id", tx.snippet(F.col("text"), ["sensor", "kiln", "budget"]).alias("snippet"))
+
+
 # --- links, chunks, browsing -------------------------------------------------------------------------------------------
 
 _CHUNKS = "chunks AS (SELECT DISTINCT ON (hit_id) *, hit_id AS chunk_id, start_line AS ord FROM hits)"
@@ -460,6 +478,14 @@ def interval_containment(spark, d):
     return browse.containing(c.where("chunk_kind <> 'section'").withColumn("line", F.col("start_line")), c.where("chunk_kind = 'section'"), "chunk_id")
 
 
+@query(f"WITH {_CHUNKS}, r AS (SELECT chunk_id AS request, path, CASE WHEN chunk_id % 4 = 0 THEN 'gone' ELSE chunk_hash END AS chunk_hash, CASE WHEN chunk_id % 8 = 0 THEN NULL ELSE 'Fallback' END AS heading FROM chunks), k AS (SELECT path, chunk_hash, min(coalesce(heading, '')) AS found FROM chunks GROUP BY 1, 2) SELECT request, CASE WHEN found IS NOT NULL THEN found ELSE heading END AS heading, CASE WHEN found IS NOT NULL THEN 'hash' WHEN heading IS NOT NULL THEN 'heading' ELSE 'stale' END AS state FROM r LEFT JOIN k USING (path, chunk_hash)")
+def chunk_anchors(spark, d):
+    c = chunks(spark, d)
+    n = F.col("chunk_id")
+    requests = c.select(n.alias("request"), "path", F.when(n % 4 == 0, "gone").otherwise(F.col("chunk_hash")).alias("chunk_hash"), F.when(n % 8 == 0, None).otherwise("Fallback").alias("heading"))
+    return browse.anchors(requests, c).select("request", "heading", "state")
+
+
 @query("""WITH f AS (SELECT DISTINCT path, mtime FROM files QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST) = 1),
 p AS (SELECT path, mtime FROM f WHERE starts_with(path, 'projects/') AND NOT regexp_full_match(path, '.*/_drafts/.*') ORDER BY mtime DESC, path LIMIT 30),
 c AS (SELECT path, min(heading) AS heading, count(*) AS n FROM (SELECT DISTINCT ON (hit_id) * FROM hits) GROUP BY path)
