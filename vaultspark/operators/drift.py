@@ -10,7 +10,7 @@ from vaultspark.functions import jsonval
 from vaultspark.functions.arrow import arrow_fn
 from vaultspark.operators.snapshots import nfc
 from vaultspark.operators.trees import nearest_delivered
-from vaultspark.session import cut
+from vaultspark.session import cut, cut_to_table
 
 WORKING = "working"
 #: Of equally frequent types the first in this order counts.
@@ -115,7 +115,7 @@ def field_changes(ref_trees: DataFrame, ref_files: DataFrame, files: DataFrame)
     Compared are each delivered tree with its nearest delivered ancestor and each working copy with its base, where both
     are delivered; groups of one side only are not compared. Empty inputs give no rows.
     """
-    notes = cut(notes_of(ref_files, files))
+    notes = cut_to_table(notes_of(ref_files, files), "notes")
     stats = cut(field_statistics(notes))
     delivered = ref_files.where("tree_oid is not null").select("tree_oid").distinct()
     edges = nearest_delivered(ref_trees, delivered).select("from_oid", F.col("tree_oid").alias("to_oid"), F.lit(None).cast("string").alias("base"))

@@ -57,3 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint in the shared folder."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def cut_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of a wide df by a Parquet table in the shared folder: columnar and compressed, where a checkpoint
+    holds plain rows. The table stays until the folder is cleared."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
