@@ -45,4 +45,13 @@ def p9_shared(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p6_percentiles, p6_daily, p7_ids, p8_containers, p9_found, p9_shared)}
-ORACLES: dict[str, str] = {}
+_SPANS = """w AS (SELECT doc_id, i, hash(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(length(text) - 199)) AS i FROM documents WHERE length(text) >= 200 AND doc_id IS NOT NULL)),
+  shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+  marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END AS opens FROM w JOIN shared USING (h) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+  spans AS (SELECT doc_id, min(i) AS start_pos, max(i) + 200 AS end_pos FROM runs GROUP BY doc_id, run)"""
+
+ORACLES: dict[str, str] = {
+    "p9_found": f"WITH {_SPANS} SELECT * FROM spans",
+    "p9_shared": f"WITH {_SPANS}, n AS (SELECT doc_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS n_shared, count(*) AS n_spans FROM spans GROUP BY doc_id) SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n_shared, 0) AS n_shared, coalesce(n_spans, 0) AS n_spans FROM documents LEFT JOIN n USING (doc_id)",
+}
