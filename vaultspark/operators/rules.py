@@ -21,7 +21,7 @@ def first_rule(path: Column, globs: list[str]) -> Column:
 
 def first_rule_by_table(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, rule): the same with rules (rule, regex) in a table; only the least rule number of each path is shuffled."""
-    hit = paths.join(F.broadcast(rules), F.expr("path rlike regex"), "left")
+    hit = paths.join(rules, F.expr("path rlike regex"), "left")
     return hit.groupBy("path").agg(F.min("rule").alias("rule"))
 
 
@@ -35,7 +35,7 @@ def shadowed_rules(spark, globs: list[str]) -> DataFrame:
     rows = [(i, sample_path(g), glob_regex(g, stars_cross=False)) for i, g in enumerate(globs)]
     r = spark.createDataFrame(rows, "rule int, sample string, regex string")
     e = r.select(F.col("rule").alias("by"), F.col("regex").alias("earlier"))
-    return r.join(F.broadcast(e), F.expr("by < rule and sample rlike earlier")).groupBy("rule").agg(F.min("by").alias("by"))
+    return r.join(e, F.expr("by < rule and sample rlike earlier")).groupBy("rule").agg(F.min("by").alias("by"))
 
 
 def missing_fields(fm: Column, required: list[str]) -> Column:

@@ -88,4 +88,12 @@ ORACLES = {
     "p4_sessions": f"""WITH {_CALLS_SQL}, s AS (
       SELECT conversation_id, session, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS duration_us, count(*) AS n_calls FROM numbered GROUP BY conversation_id, session)
       SELECT s.*, coalesce(n.tool, '') AS tool, count(*) AS n_tool FROM numbered n JOIN s USING (conversation_id, session) GROUP BY ALL""",
+    "p2_found": r"""WITH RECURSIVE latest AS (SELECT path, frontmatter FROM files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, frontmatter DESC NULLS LAST) = 1),
+    opened AS (SELECT path, CASE WHEN NOT json_valid(frontmatter) THEN NULL WHEN json_type(frontmatter) = 'VARCHAR' THEN json_extract_string(frontmatter, '$') ELSE frontmatter END AS j FROM latest),
+    tree AS (
+      SELECT path, '' AS node_ptr, '' AS parent_ptr, CAST(j AS JSON) AS v FROM opened WHERE json_valid(j) AND json_type(j) = 'OBJECT'
+      UNION ALL
+      SELECT path, node_ptr || '/' || step, CASE json_type(v) WHEN 'OBJECT' THEN node_ptr ELSE parent_ptr END, json_extract(v, '/' || step) FROM (
+        SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: replace(replace(k, '~', '~0'), '/', '~1')) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) END) AS step FROM tree WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+    SELECT path, node_ptr, parent_ptr FROM tree WHERE json_type(v) = 'OBJECT' AND node_ptr <> ''""",
 }
