@@ -194,6 +194,15 @@ def test_telemetry_edges(spark):
     assert telemetry.ratios(none).first()["calls"] == 0 and telemetry.by_tool(none).count() == 0 and telemetry.flag_totals(none).count() == 4
     with pytest.raises(ValueError):
         telemetry.private_paths(one, "all")
+    args = spark.createDataFrame([('{"top_k": 3, "folder": "", "ops": [1, 2], "fields": null, "chunk_hash": "x"}', "t"), ('{"text": "x"}', "write_note"), ("{}", None)], "a string, tool string")
+    flags = [tuple(r["f"]) for r in args.select(telemetry.argument_flags(F.parse_json("a"), F.col("tool")).alias("f")).collect()]
+    assert flags == [(True, False, True, False, False, 2), (True, False, False, False, False, None), (False, False, False, False, False, None)]
+
+
+def test_links_lead_to_the_first_candidate(spark):
+    n = spark.createDataFrame([("a/x.md", "[[y]] [[z]] [[f]] [[none]]"), ("a/y.md", ""), ("y.md", ""), ("a/z.md", ""), ("f/f.md", None)], "path string, text string")
+    got = {r["key"]: r["target"] for r in browse.resolved_links(browse.links(n), n).collect()}
+    assert got == {"y": "y.md", "z": "a/z.md", "f": "f/f.md", "none": None}
 
 
 def test_text_functions(spark):

@@ -45,6 +45,21 @@ def backlink_counts(link_rows: DataFrame, notes: DataFrame) -> DataFrame:
     return hit.groupBy("path").agg(F.count("*").alias("n_links"), F.countDistinct("source").alias("n_sources"))
 
 
+def resolved_links(link_rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(source, line, key, target): the note a link leads to, null without one.
+
+    Tried in this order: the key as a path, as a folder's note of the same name, and as a path from the source's folder. The
+    few candidates of each link are joined to the notes at once, and the first that exists is kept.
+    """
+    own = notes.where("path is not null").groupBy(note_keys(F.col("path")).alias("name")).agg(F.min("path").alias("target"))
+    home = F.regexp_extract("source", "^(.*/)?[^/]*$", 1)
+    key = F.regexp_replace("key", "^/+", "")
+    tried = F.array(key, F.concat(key, F.lit("/"), F.col("stem")), F.lower(F.concat(home, key)))
+    each = link_rows.select("source", "line", "key", "stem").distinct().select("source", "line", "key", F.posexplode(tried).alias("order", "name"))
+    hit = each.join(own, "name", "left")
+    return hit.groupBy("source", "line", "key").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("order"))).alias("target"))
+
+
 def link_states(link_rows: DataFrame, notes: DataFrame) -> DataFrame:
     """(key, n_links, n_targets, state): broken without a target, ambiguous with several, else ok. One row per link target.
 

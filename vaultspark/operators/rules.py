@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions.text import trailing_blank_lines
-from vaultspark.operators.predicates import glob_regex, member, present, text_of
+from vaultspark.operators.predicates import elements, glob_regex, member, present, text_of
 
 
 def first_rule(path: Column, globs: list[str]) -> Column:
@@ -95,6 +95,23 @@ def flaws(notes: DataFrame, required: list[str] | None = None, folders: list[str
     return out
 
 
+def profile_flaws(notes: DataFrame, field: str, required: list[str], statuses: list[str] | None = None, status: str = "status") -> DataFrame:
+    """(path, place, code) of notes (path, fm) whose list of maps `field` breaks its profile.
+
+    not_a_list (place -1) if the field is there but no list; per element, by place: not_a_map, missing_<key> for a required key
+    that is absent (a null is there), bad_status for one that is neither null nor among statuses.
+    """
+    v = member(F.col("fm"), field)
+    items = elements(v)
+    no_list = notes.where(v.isNotNull() & items.isNull()).select("path", F.lit(-1).alias("place"), F.lit("not_a_list").alias("code"))
+    each = notes.select("path", F.posexplode(items).alias("place", "item"))
+    is_map = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    tests = [F.when(~is_map, F.lit("not_a_map")), *[F.when(is_map & member(F.col("item"), k).isNull(), F.lit(f"missing_{k}")) for k in required]]
+    if statuses:
+        tests.append(F.when(is_map & present(member(F.col("item"), status)) & ~text_of(member(F.col("item"), status)).isin(statuses), F.lit("bad_status")))
+    return no_list.unionByName(each.select("path", "place", F.explode(F.array_compact(F.array(*tests))).alias("code")))
+
+
 def flaw_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_notes"))
 

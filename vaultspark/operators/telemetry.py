@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaultspark.operators.predicates import elements, member, present, text_of
+
 FLAGS = ("expected_mtime_set", "fields_set", "folder_set", "used_alias")
 
 
@@ -166,6 +168,20 @@ def spans(calls: DataFrame) -> DataFrame:
     return calls.select(trace.alias("trace_id"), span.alias("span_id"), tool_name().alias("name"), status.alias("status"), "received_at", "duration_ms")
 
 
+def argument_flags(arguments: Column, tool: Column) -> Column:
+    """What a call's arguments (VARIANT) tell without giving content away, as a struct of the log's flags and the number of edits.
+
+    used_alias: an old name of a parameter; folder_set and chunk_hash_set: not empty; fields_set and expected_mtime_set: not null.
+    """
+    there = lambda k: present(member(arguments, k))
+    filled = lambda k: there(k) & ~text_of(member(arguments, k)).isin("", "[]", "{}", "false", "0")
+    alias = there("top_k") | there("filters") | ((tool == "append_note") & (there("content") | there("body"))) | ((tool == "write_note") & (there("text") | there("body")))
+    return F.struct(
+        F.coalesce(alias, F.lit(False)).alias("used_alias"), (filled("folder") | filled("folders")).alias("folder_set"), filled("chunk_hash").alias("chunk_hash_set"),
+        there("fields").alias("fields_set"), there("expected_mtime").alias("expected_mtime_set"), F.size(elements(member(arguments, "ops"))).alias("ops_count"),
+    )
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     """The first n rows of each key in an order; WindowGroupLimit keeps n per task before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")

@@ -444,6 +444,13 @@ def link_states(spark, d):
     return browse.link_states(link_rows(spark, d), docs(spark, d))
 
 
+@query(f"""WITH {_LINKS}, own AS (SELECT lower(regexp_replace(path, '\\.(?:md|markdown|yaml|yml|mmd)$', '')) AS name, min(path) AS target FROM documents WHERE path IS NOT NULL GROUP BY 1),
+l AS (SELECT DISTINCT source, line, key, stem, regexp_replace(key, '^/+', '') AS k, regexp_extract(source, '^(.*/)?[^/]*$', 1) AS home FROM links)
+SELECT source, CAST(line AS INTEGER) AS line, key, coalesce(a.target, b.target, c.target) AS target FROM l LEFT JOIN own a ON a.name = k LEFT JOIN own b ON b.name = k || '/' || stem LEFT JOIN own c ON c.name = lower(home || k)""")
+def resolved_links(spark, d):
+    return browse.resolved_links(link_rows(spark, d), docs(spark, d))
+
+
 def _edge_sql(order: str) -> str:
     return f"WITH {_CHUNKS} SELECT path, chunk_id, ord, heading FROM (SELECT *, count(*) OVER (PARTITION BY path, ord) AS same FROM chunks) WHERE same = 1 QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord {order}) = 1"
 
@@ -568,6 +575,14 @@ def lint_counts(spark, d):
     return rules.flaw_counts(rules.flaws(n, folders=["note", "stub", "chat", "log"], links=l, link_states=browse.link_states(l, n)))
 
 
+@query(f"""WITH {_NOTES}, t AS (SELECT path, json_type(fm, '$.todos') AS k, json_extract(fm, '$.todos[*]') AS items FROM notes), e AS (SELECT path, generate_subscripts(items, 1) - 1 AS place, unnest(items) AS item FROM t WHERE k = 'ARRAY')
+SELECT path, -1 AS place, 'not_a_list' AS code FROM t WHERE k <> 'ARRAY' UNION ALL SELECT path, place, 'not_a_map' FROM e WHERE json_type(item) <> 'OBJECT'
+UNION ALL SELECT path, place, 'missing_id' FROM e WHERE json_type(item) = 'OBJECT' AND NOT json_exists(item, '$.id') UNION ALL SELECT path, place, 'missing_status' FROM e WHERE json_type(item) = 'OBJECT' AND NOT json_exists(item, '$.status')
+UNION ALL SELECT path, place, 'bad_status' FROM e WHERE json_type(item) = 'OBJECT' AND json_type(item, '$.status') <> 'NULL' AND json_extract_string(item, '$.status') NOT IN ('open', 'done')""")
+def type_profile_check(spark, d):
+    return rules.profile_flaws(notes(spark, d), "todos", ["id", "status"], ["open", "done"])
+
+
 # --- versions ----------------------------------------------------------------------------------------------------------
 
 
