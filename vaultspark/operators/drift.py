@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import jsonval
 from vaultspark.functions.arrow import arrow_fn
+from vaultspark.operators.prefilter import probably_in
 from vaultspark.operators.snapshots import nfc
 from vaultspark.operators.trees import nearest_delivered
 from vaultspark.session import cut, cut_to_table
@@ -136,8 +137,10 @@ def field_changes(ref_trees: DataFrame, ref_files: DataFrame, files: DataFrame)
     lists = moved.groupBy(*key).agg(F.collect_list(F.when(F.col("new_kind").isNull(), F.col("name"))).alias("lost"), F.collect_list(F.when(F.col("old_kind").isNull(), F.col("name"))).alias("gained"))
     lists = cut(lists.where("size(lost) > 0 and size(gained) > 0"))
     held = lambda names: F.filter("fields", lambda f: F.array_contains(F.col(names), f["name"]))
-    left = notes.where("base is null").withColumnRenamed("oid", "from_oid").join(lists, ["from_oid", "okf_type"]).select(*key, "path", held("lost").alias("had")).where("size(had) > 0")
-    right = notes.withColumn("to_base", F.coalesce("base", F.lit(""))).withColumnRenamed("oid", "to_oid").join(lists, ["to_oid", "to_base", "okf_type"]).select(*key, "path", held("gained").alias("has"))
+    old_notes = probably_in(notes.where("base is null").withColumnRenamed("oid", "from_oid"), lists, "from_oid", "okf_type")
+    left = old_notes.join(lists, ["from_oid", "okf_type"]).select(*key, "path", held("lost").alias("had")).where("size(had) > 0")
+    new_notes = probably_in(notes.withColumn("to_base", F.coalesce("base", F.lit(""))).withColumnRenamed("oid", "to_oid"), lists, "to_oid", "to_base", "okf_type")
+    right = new_notes.join(lists, ["to_oid", "to_base", "okf_type"]).select(*key, "path", held("gained").alias("has"))
     met = left.join(right, [*key, "path"])
     tried = met.select(*key, F.explode("had").alias("h"), "has")
     totals = tried.groupBy(*key, F.col("h.name").alias("field_name")).agg(F.count("*").alias("n"))
