@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from vaultspark.operators.prefilter import probably_in
 from vaultspark.session import cut
 
 WIDTH = 200
@@ -180,25 +181,6 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(lo) - 1]]
 
 
-#: Bits of the filter that spares texts without candidates the shuffle: half a megabyte, whatever the data.
-FILTER_BITS = 1 << 22
-
-
-def _probably_in(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """rows without most of those whose key wanted lacks; none that it has is left out.
-
-    A bitmap of fixed size over hashes of the wanted keys comes back as a scalar subquery. With far more keys than bits it
-    lets everything pass, and the join that follows does the work alone.
-    """
-    spot = F.pmod(F.xxhash64(key), F.lit(bits))
-    word, bit = F.shiftright(spot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))
-    set_words = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    all_words = rows.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(set_words, "word", "left")
-    filled = all_words.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))
-    bitmap = filled.select(F.transform("w", lambda x: x["bits"])).scalar()
-    return rows.where(F.get(bitmap, word).bitwiseAND(bit) != 0)
-
-
 _WINDOW = StructType([StructField("pos", IntegerType()), StructField("h", LongType())])
 
 
@@ -206,7 +188,7 @@ def window_rows(documents: DataFrame, candidates: DataFrame, width: int = WIDTH)
     """(key, pos, h) of every candidate window, each once; of copies of a text only one is read."""
     one = documents.where(F.length("text") >= width).groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(candidates.join(one, "key"))
-    texts = _probably_in(documents.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
+    texts = probably_in(documents.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
 
     def windows(text: pa.Array, ranges: pa.Array) -> pa.Array:
         t = text.to_pylist()
