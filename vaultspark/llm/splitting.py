@@ -115,10 +115,12 @@ def pieces(hits: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataF
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
     once = hits_once(hits.where("text is not null"), "heading")
-    marks = F.col("text").rlike(f"[{_HEAD}{_PARA}]")
-    text = F.when(F.length("text") <= limit, F.col("text")).when(marks, F.col("text")).otherwise(_marked(tokens(F.col("text"))))
-    cut = F.when(F.length("text") <= limit, F.array("text")).otherwise(F.regexp_extract_all(text, F.lit(_cutter(limit, overlap)), F.lit(0)))
-    ready = once.select("hit_id", "heading", "start_line", "text", marks.alias("marks"), cut.alias("cut"))
+    # The tokens are a column of their own: inside the lambdas of array functions they would be taken anew for each element.
+    long = (F.length("text") > limit) & ~F.col("text").rlike(f"[{_HEAD}{_PARA}]")
+    parts = once.select("hit_id", "heading", "start_line", "text", F.when(long, tokens(F.col("text"))).alias("parts"))
+    marked = F.when(F.col("parts").isNotNull(), _marked(F.col("parts"))).otherwise(F.col("text"))
+    cut = F.when(F.length("text") <= limit, F.array("text")).otherwise(F.regexp_extract_all(marked, F.lit(_cutter(limit, overlap)), F.lit(0)))
+    ready = parts.select("hit_id", "heading", "start_line", "text", F.col("parts").isNull().alias("marks"), cut.alias("cut"))
     plain = lambda s: F.when(F.col("marks"), s).otherwise(F.translate(s, _HEAD + _PARA, "\n\n"))
     new = F.transform("cut", lambda s: plain(s))
     start = F.expr("named_struct('at', 0, 'line', 0, 'out', cast(array() as array<struct<at: int, line: int, n: int>>))")
