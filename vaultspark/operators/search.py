@@ -26,7 +26,9 @@ def bm25(docs: DataFrame, query: str, n: int = CANDIDATES, id: str = "doc_id", t
     """
     terms, every = query_terms(query)
     own = docs.select(F.col(id).alias("id"), (F.lit(True) if scope is None else scope).alias("in_scope"), tokens(F.col(text)).alias("t"))
-    tf = own.select("id", "in_scope", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    # By a generator, not a projection: the filter on the counts would be pushed below that, and take the tokens anew per term.
+    counts = F.struct(F.size("t").alias("dl"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    tf = own.select("id", "in_scope", F.inline(F.array(counts)))
     if not terms:
         return tf.select(F.col("id").alias(id), F.lit(0.0).alias("score")).where("false")
     stats = tf.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).alias("s")).scalar()
@@ -43,10 +45,6 @@ def bm25(docs: DataFrame, query: str, n: int = CANDIDATES, id: str = "doc_id", t
     return hit.select(F.col("id").alias(id), F.round(score, 6).alias("score")).orderBy(F.desc("score"), id).limit(n)
 
 
-def _is(word: str):
-    return lambda x: x == word
-
-
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:
@@ -66,7 +64,7 @@ def embed(text: Column, dim: int = DIM) -> Column:
     # A lambda's body is evaluated per element, so whatever it needs is bound to a variable first.
     let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     slots = F.transform(tokens(text), lambda t: (F.conv(F.right(F.md5(t), F.lit(7)), 16, 10).cast("long") % dim).cast("int"))
-    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double"))
     unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
     return let(let(slots, count), unit)
 
