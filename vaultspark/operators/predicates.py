@@ -17,9 +17,8 @@ from vaultspark.operators.nested import latest_rows
 _SAFE_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
-def readable_variant(text: Column) -> Column:
-    """The object that a text holds, directly or as a string that holds such text; null for anything else."""
-    once = F.try_parse_json(text)
+def readable_object(once: Column) -> Column:
+    """Of a parsed text the object that it is, or that it holds as a string; null for anything else."""
     inner = F.try_parse_json(F.try_variant_get(once, "$", "string"))
     value = F.when(F.schema_of_variant(once) == "STRING", inner).otherwise(once)
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
@@ -28,7 +27,9 @@ def readable_variant(text: Column) -> Column:
 def catalog(files: DataFrame, *keep: str) -> DataFrame:
     """(path, mtime, fm, keep...): the latest row of each path whose frontmatter is readable, with fm as VARIANT."""
     one = latest_rows(files.where("path is not null").select("path", "mtime", "frontmatter", *keep), "path")
-    return one.select("path", "mtime", readable_variant(F.col("frontmatter")).alias("fm"), *keep).where("fm is not null")
+    # By a generator: filters on fm would be pushed below a projection, and read the JSON anew for each use of fm.
+    parsed = one.select("path", "mtime", F.explode(F.array(F.try_parse_json("frontmatter"))).alias("v"), *keep)
+    return parsed.select("path", "mtime", F.explode(F.array_compact(F.array(readable_object(F.col("v"))))).alias("fm"), *keep)
 
 
 def _kind(v: Column) -> Column:
