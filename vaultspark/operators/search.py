@@ -69,6 +69,11 @@ def embed(text: Column, dim: int = DIM) -> Column:
     return let(let(slots, count), unit)
 
 
+def with_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs that have a text, with its vector as _v; by a generator, so that no filter on the vector makes it twice."""
+    return docs.where(F.col(text).isNotNull()).select("*", F.explode(F.array(embed(F.col(text)))).alias("_v"))
+
+
 def vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -133,7 +138,7 @@ def hybrid(docs: DataFrame, query: str, k: int = 8, id: str = "doc_id", text: st
     if not vector_only:
         lexical = ranked(bm25(docs, query, pool, id, text, scope), F.desc("score"), id).select(id, "rank")
     if not lexical_only:
-        vectors = docs if embedding else docs.where(F.col(text).isNotNull()).withColumn("_v", embed(F.col(text)))
+        vectors = docs if embedding else with_vectors(docs, text)
         q = vector(query_vector) if query_vector is not None else embed(F.lit(query))
         dense = ranked(knn(vectors, q, pool, id, embedding or "_v", scope), "distance", id).select(id, "rank")
     none = docs.select(id, F.lit(0).alias("rank")).where("false")

@@ -343,7 +343,7 @@ f AS (SELECT doc_id, coalesce(1.0::DOUBLE / (60 + ra), 0) + coalesce(1.0::DOUBLE
 def _two(spark, d):
     dd = docs(spark, d)
     lex = search.ranked(search.bm25(dd, _QUERY, 32), F.desc("score"), "doc_id")
-    vec = dd.where("text is not null").withColumn("_v", search.embed(F.col("text")))
+    vec = search.with_vectors(dd)
     return lex, search.ranked(search.knn(vec, search.embed(F.lit(_QUERY)), 32, "doc_id", "_v"), "distance", "doc_id")
 
 
