@@ -126,6 +126,35 @@ def test_variants(spark):
     assert [(r["node_ptr"], r["id"], r["s"]) for r in one] == [("/todos/0", 1.0, "a"), ("/todos/1", 2.0, "b")]
 
 
+def leaves(v, ptr=""):
+    """(pointer, JSON) of every scalar of a value."""
+    if not isinstance(v, (dict, list)):
+        return {(ptr, json.dumps(v))}
+    step = lambda k: str(k).replace("~", "~0").replace("/", "~1")
+    return set().union(*(leaves(c, f"{ptr}/{step(k)}") for k, c in (v.items() if isinstance(v, dict) else enumerate(v))))
+
+
+def scalars(files):
+    """(path, pointer, JSON) of every scalar in the flat tables of problem 2."""
+    step = lambda k: k.replace("~", "~0").replace("/", "~1")
+    out = [(r["path"], f"{r['node_ptr']}/{step(k)}", v) for r in nested.subtype_rows(nested.nodes(files)).collect() for k, v in (r["common"] | r["own"]).items()]
+    out += [(r["path"], f"{r['list_ptr']}/{r['position']}", r["raw"]) for r in nested.list_elements(files).where("raw is not null").collect()]
+    assert len(out) == len(set(out))
+    return set(out)
+
+
+def test_flat_tables_hold_every_scalar(spark, small):
+    notes = [{"tags": ["a", 1, None, {"k": [True, [2, [], {"z": [3]}]]}, [["b"], []]], "none": [], "t": "x", "a/b": {"~": ["c"]}}, {"tags": "a"}]
+    df = spark.createDataFrame([(f"p{i}", 1.0, json.dumps(n), None) for i, n in enumerate(notes)], FILES)
+    assert scalars(df) == {(f"p{i}", *x) for i, n in enumerate(notes) for x in leaves(n)}
+    e = {(r["parent_ptr"], r["name"], r["list_ptr"], r["position"], r["kind"]) for r in nested.list_elements(df).collect()}
+    assert {("", "tags", "/tags/4", 1, "array"), ("/tags/3", "k", "/tags/3/k/1", 0, "number"), ("/a~1b", "~", "/a~1b/~0", 0, "string")} <= e
+    f = spark.read.parquet(f"{small}/files.parquet")
+    latest = {r["path"]: brute.read(r["frontmatter"]) for r in sorted(rows(spark, small, "files"), key=lambda r: r["mtime"])}
+    assert {(p, at) for p, at, _ in scalars(f)} == {(p, at) for p, v in latest.items() if v for at, _ in leaves(v)}
+    assert problems.p2_elements(spark, small).count() == nested.list_elements(f).count() > 0
+
+
 def test_deep_and_odd_json(spark):
     texts = ["[" * 500 + "]" * 500, '{"a":' * 450 + "1" + "}" * 450, '{"a":' * 60 + "1" + "}" * 60, '{"k": "\\ud800"}', '{"\\ud800": {}}', '{"n": NaN}', "{}", '"\\"{}\\""', '{"a": 1e400}']
     df = spark.createDataFrame([(f"p{i}", 1.0, t, None) for i, t in enumerate(texts)], FILES)

@@ -10,6 +10,7 @@ from vaultspark.functions import jsonval
 from vaultspark.functions.arrow import arrow_fn
 
 _FIELD = pa.struct([("name", pa.string()), ("kind", pa.string()), ("raw", pa.string())])
+_ELEMENT = pa.struct([("parent_ptr", pa.string()), ("name", pa.string()), ("list_ptr", pa.string()), ("position", pa.int32()), ("kind", pa.string()), ("raw", pa.string())])
 _NODE = pa.struct([("node_ptr", pa.string()), ("parent_ptr", pa.string()), ("role", pa.string()), ("state", pa.string()), ("fields", pa.list_(_FIELD))])
 
 
@@ -53,6 +54,27 @@ def classify(root: dict) -> list[dict]:
     return out
 
 
+def elements(root: dict) -> list[dict]:
+    """Every element of a record's lists that is no object, in the order of the record; the walk keeps its own stack."""
+    out: list[dict] = []
+    todo: list[tuple] = [(root, "", None, None)]  # value, pointer, enclosing object's pointer, name there
+    while todo:
+        value, ptr, parent, name = todo.pop()
+        if type(value) is dict:
+            inner = [(v, ptr + jsonval.pointer_step(k), ptr, k) for k, v in value.items() if type(v) in (dict, list)]
+        else:
+            at = {"parent_ptr": jsonval.clean(parent), "name": jsonval.clean(name), "list_ptr": jsonval.clean(ptr)}
+            out += [at | {"position": i, "kind": jsonval.kind(v), "raw": None if type(v) is list else jsonval.canonical(v)} for i, v in enumerate(value) if type(v) is not dict]
+            inner = [(v, f"{ptr}/{i}", parent, name) for i, v in enumerate(value) if type(v) in (dict, list)]
+        todo += reversed(inner)
+    return out
+
+
+@arrow_fn(pa.list_(_ELEMENT))
+def _elements(texts: pa.Array) -> pa.Array:
+    return pa.array([None if (v := jsonval.readable(t)) is None else elements(v) for t in texts.to_pylist()], pa.list_(_ELEMENT))
+
+
 @arrow_fn(pa.list_(_NODE))
 def _nodes(texts: pa.Array) -> pa.Array:
     rows = []
@@ -80,6 +102,18 @@ def nodes(files: DataFrame) -> DataFrame:
     return one.select("path", F.explode(_nodes("frontmatter")).alias("n")).select("path", "n.*")
 
 
+def list_elements(files: DataFrame) -> DataFrame:
+    """(path, parent_ptr, name, list_ptr, position, kind, raw): the elements of all lists of the notes of nodes(), but objects.
+
+    The child table of subtype_rows: parent_ptr is the node_ptr of the nearest enclosing object, name its member that holds
+    the list, list_ptr the list's JSON Pointer and position the element's place from 0. raw is canonical JSON, null for a
+    list within a list, whose elements are rows with its pointer as list_ptr. Objects in lists are rows of nodes(), with
+    list_ptr/position as node_ptr. An array member with rows in neither is an empty list.
+    """
+    one = latest_rows(files.where("path is not null").select("path", "mtime", "frontmatter"), "path")
+    return one.select("path", F.explode(_elements("frontmatter")).alias("e")).select("path", "e.*")
+
+
 def nested_objects(files: DataFrame) -> DataFrame:
     """(path, node_ptr, parent_ptr) of every object but the outermost."""
     return nodes(files).where("parent_ptr is not null").select("path", "node_ptr", "parent_ptr")
@@ -105,7 +139,8 @@ def subtype_rows(node_rows: DataFrame) -> DataFrame:
     """Each object routed to its variant: path, node_ptr, parent_ptr, role, state, common, own.
 
     common maps the keys that every variant of the role shares to canonical JSON (the supertype's columns), own maps the
-    variant's other scalar members. Nested members are rows of their own and are reached by parent_ptr.
+    variant's other scalar members. Nested objects are rows of their own, other elements of lists are rows of list_elements();
+    both are reached by parent_ptr.
     """
     keys = supertypes(variants(node_rows)).where("common").groupBy("role").agg(F.collect_set("key").alias("keys"))
     j = node_rows.join(keys, "role", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))

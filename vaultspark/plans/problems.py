@@ -36,6 +36,10 @@ def p2_subtypes(spark, d):
     return nested.subtype_rows(nested.nodes(table(spark, d, "files")))
 
 
+def p2_elements(spark, d):
+    return nested.list_elements(table(spark, d, "files"))
+
+
 def _sessions(spark, d):
     return sessions.sessions(sessions.calls_once(table(spark, d, "tool_calls")))
 
@@ -56,7 +60,7 @@ def p5_counts(spark, d):
     return p5_found(spark, d).groupBy("tree_oid", "change_kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p2_found, p2_variants, p2_supertypes, p2_subtypes, p4_found, p4_sessions, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p2_found, p2_variants, p2_supertypes, p2_subtypes, p2_elements, p4_found, p4_sessions, p5_found, p5_counts)}
 
 _CALLS_SQL = r"""
 raw AS (
