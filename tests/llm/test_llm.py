@@ -70,6 +70,16 @@ def test_pieces_end_at_the_strongest_boundary(spark):
     assert all(p.endswith("\n") for p in plain)
 
 
+def test_pieces_end_at_an_early_boundary(spark):
+    texts = ["a b. c\n# Head\n" + "d e. " * 100, "a b. c\n\nd\n\n" + "e" * 300, "a\n# H\nb\n\n" + "x y\n" * 200, "a\n# H\n" + "b " * 70 + "\n\n" + "c " * 200]
+    df = spark.createDataFrame([(i, t, 1, "h") for i, t in enumerate(texts)], HITS)
+    for overlap in (0, 2):
+        first = {r["hit_id"]: r["text"] for r in splitting.pieces(df, 200, overlap).where("piece = 0").collect()}
+        assert first == {0: "a b. c\n", 1: "a b. c\n\nd\n\n", 2: "a\n", 3: texts[3][: texts[3].index("c ")]}
+    later = "a " * 99 + "\n\n" + "b\n\n" + "c" * 500
+    assert [r["text"] for r in splitting.pieces(spark.createDataFrame([(1, later, 1, "h")], HITS), 200, 0).orderBy("piece").collect()][:2] == ["a " * 99 + "\n\n", "b\n\n"]
+
+
 def rank_error(values, answer, q):
     v = np.sort(values)
     return max(np.searchsorted(v, answer, "left") / len(v) - q, q - np.searchsorted(v, answer, "right") / len(v), 0)

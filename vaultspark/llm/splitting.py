@@ -86,20 +86,22 @@ def _cutter(limit: int, overlap: int) -> str:
     """Takes off what is new in each piece: up to limit characters for the first, up to limit - overlap for later ones."""
     end = f"\\n{_HEAD}{_PARA}"
 
-    def ladder(n: int) -> list[str]:
+    def ladder(n: int, fewest: int) -> list[str]:
         least = max(1, n // 2)
-        some = f"[\\s\\S]{{{least},{n}}}"
+        some, early = f"[\\s\\S]{{{least},{n}}}", f"[\\s\\S]{{{fewest},{n}}}"
         return [
             f"[\\s\\S]{{1,{n}}}\\z",
             f"{some}(?<={_HEAD})",
             f"{some}(?<={_PARA})",
+            f"{early}(?<={_HEAD})",
+            f"{early}(?<={_PARA})",
             f"{some}(?<=[{end}])",
             f"{some}(?<=[.!?…。](?:[\"')\\]]|)\\s)",
             f"{some}(?<=\\s)",
             f"[\\s\\S]{{1,{n}}}",
         ]
 
-    return "|".join([f"\\A(?:{'|'.join(ladder(limit))})", *ladder(limit - overlap)])
+    return "|".join([f"\\A(?:{'|'.join(ladder(limit, max(1, overlap)))})", *ladder(limit - overlap, 1)])
 
 
 def pieces(hits: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -107,7 +109,9 @@ def pieces(hits: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataF
 
     A text within the limit is one piece. Later pieces begin with the last `overlap` characters of the piece before, so
     without those the pieces are the text. Pieces end before a heading, else before another natural boundary (never one
-    inside a code fence), else at a line end, after a sentence, at white space, provided that fills half a piece; else anywhere.
+    inside a code fence), the last that fills half a piece, else the last within reach; the first piece has `overlap`
+    characters at least, since the second begins with so many of it. Without a natural boundary within reach they end at a
+    line end, after a sentence, at white space, provided that fills half a piece; else anywhere.
     start_line and end_line are the lines of the first and the last character, null without a start_line. Null texts
     have no piece, an empty text has one. Code points that stand for marks are kept as they are: a text that holds them
     is cut without natural boundaries.
