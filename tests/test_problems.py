@@ -126,6 +126,23 @@ def test_variants(spark):
     assert [(r["node_ptr"], r["id"], r["s"]) for r in one] == [("/todos/0", 1.0, "a"), ("/todos/1", 2.0, "b")]
 
 
+def test_typed_table_has_every_note(spark, small):
+    t = spark.createDataFrame([("a", None)], TREES)
+    r = spark.createDataFrame([("a", p, 1.0, x) for p, x in (("cut", '{"n": 1'), ("null", None), ("list", "[1]"), ("empty", "{}"), ("nulls", '{"n": null}'), ("ok", '{"n": 1, "": "x"}'), ("text", '{"n": "x"}'), ("more", '{"n": 2}'))], REF)
+    f = spark.createDataFrame([("w", 1.0, None, "a"), ("w", 2.0, "{", "a")], FILES)
+    values, types = drift.unified(t, r, f)
+    for columns in (0, 1, 9):
+        got = {r["path"]: (r["readable"], r["failed"]) for r in drift.typed_table(values, types, max_columns=columns).collect()}
+        lost = {"cut": '{"n": 1', "null": None, "list": "[1]", "w": "{"}
+        assert got == {p: (False, {"": x}) for p, x in lost.items()} | {p: (True, {}) for p in ("empty", "nulls", "ok", "more")} | {"text": (True, {"n": '"x"'})}
+    wide = {r["path"]: r for r in drift.typed_table(values, types).collect()}
+    assert wide["ok"]["f_"] == "x" and wide["ok"]["f_n"] == 1.0 and wide["empty"]["f_"] is wide["cut"]["f_"] is None and not wide["empty"]["rest"]
+    assert {(r["name"], r["kind"], r["n"]) for r in drift.failed_casts(values).collect()} == {("", "missing", 1), ("", "unreadable", 3), ("n", "string", 1)}
+    assert {r["name"]: (r["target"], r["n"]) for r in types.collect()} == {"n": ("number", 3), "": ("string", 1)}
+    latest = len({r["path"] for r in rows(spark, small, "files")}) + sum(map(len, brute.catalogs(rows(spark, small, "ref_files")).values()))
+    assert problems.p1_table(spark, small).count() == latest
+
+
 def leaves(v, ptr=""):
     """(pointer, JSON) of every scalar of a value."""
     if not isinstance(v, (dict, list)):

@@ -16,6 +16,8 @@ from vaultspark.session import cut, cut_to_table
 WORKING = "working"
 #: Of equally frequent types the first in this order counts.
 KIND_ORDER = [jsonval.ARRAY, jsonval.BOOLEAN, jsonval.NUMBER, jsonval.OBJECT, jsonval.STRING]
+#: Kinds of notes as a whole: a frontmatter that can't be read, one that is null. They count as failed casts.
+UNREADABLE, MISSING = "unreadable", "missing"
 BELONGS_PERCENT, SAME_PERCENT = 20, 80
 
 _ENTRY = pa.struct([("name", pa.string()), ("kind", pa.int8()), ("digest", pa.int64())])
@@ -191,19 +193,24 @@ def unified(ref_trees: DataFrame, ref_files: DataFrame, files: DataFrame) -> tup
     values: oid, base, path, okf_type, name, source_name, kind, target, value_text, failed. name is the field's last name
     (see renames), target the most frequent kind of that name over all notes. value_text is the value in the target's
     form; where the value can't be cast it is null and failed is true, and raw keeps the original. types: name, target, n.
+    Every latest note has a row. One that can't be read has a failed row with the name '' (JSON Pointer of the whole),
+    kind 'unreadable' or, for null, 'missing', target 'object' and the frontmatter as raw. A readable one without values,
+    {} or nulls only, has a row with null name, kind, target, raw and value_text that didn't fail.
     """
     final = renames(field_changes(ref_trees, ref_files, files))
     side = lambda df, oid, base: df.where("path is not null").select(oid.alias("oid"), base.alias("base"), nfc(F.col("path")).alias("path"), "mtime", "frontmatter")
     both = side(ref_files.where("tree_oid is not null"), F.col("tree_oid"), F.lit(None).cast("string")).unionByName(side(files, F.lit(WORKING), F.col("base_oid")))
     w = Window.partitionBy("oid", "path").orderBy(F.desc_nulls_last("mtime"), F.desc_nulls_last("frontmatter"))
     latest = both.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    read = latest.select("oid", "base", "path", path_values(F.col("frontmatter"), deep=False).alias("pv"))
+    read = latest.select("oid", "base", "path", "frontmatter", path_values(F.col("frontmatter"), deep=False).alias("pv"))
     okf = F.get(F.filter("pv", lambda p: (p["path"] == "/okf_type") & (p["kind"] == jsonval.STRING)), F.lit(0))
-    read = read.select("oid", "base", "path", _text(okf["raw"], okf["kind"]).alias("okf_type"), F.explode("pv").alias("p"))
+    held = F.filter("pv", lambda p: p["kind"] != jsonval.NULL)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("path"), F.when(F.col("frontmatter").isNull(), MISSING).otherwise(UNREADABLE).alias("kind"), F.col("frontmatter").alias("raw")))
+    read = read.select("oid", "base", "path", _text(okf["raw"], okf["kind"]).alias("okf_type"), F.explode_outer(F.when(F.col("pv").isNull(), whole).otherwise(held)).alias("p"))
     name = F.replace(F.replace(F.substring("p.path", 2, 1 << 30), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-    rows = read.select("oid", "base", "path", "okf_type", name.alias("source_name"), F.col("p.kind").alias("kind"), F.col("p.raw").alias("raw")).where(F.col("p.kind") != jsonval.NULL)
+    rows = read.select("oid", "base", "path", "okf_type", name.alias("source_name"), F.col("p.kind").alias("kind"), F.col("p.raw").alias("raw"))
     rows = rows.join(final.withColumnRenamed("field_name", "source_name"), ["okf_type", "source_name"], "left").withColumn("name", F.coalesce("final_name", "source_name")).drop("final_name")
-    kinds = rows.groupBy("name", "kind").agg(F.count("*").alias("n"))
+    kinds = rows.where("name is not null").groupBy("name", "kind").agg(F.count("*").alias("n"))
     types = cut(kinds.groupBy("name").agg(F.sum("n").alias("n"), F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("target")))
     text = _text(F.col("raw"), F.col("kind"))
     cast = (
@@ -213,12 +220,16 @@ def unified(ref_trees: DataFrame, ref_files: DataFrame, files: DataFrame) -> tup
         .when(F.col("target") == jsonval.ARRAY, F.when(F.col("kind") == jsonval.ARRAY, F.col("raw")).otherwise(F.concat(F.lit("["), "raw", F.lit("]"))))
         .when(F.col("kind") == jsonval.OBJECT, F.col("raw"))
     )
-    values = rows.join(types.select("name", "target"), "name").withColumn("value_text", cast)
-    return values.withColumn("failed", F.col("value_text").isNull()), types
+    values = rows.join(types.select("name", "target"), "name", "left").withColumn("value_text", cast)
+    whole = F.col("name").isNull() & F.col("kind").isNotNull()
+    values = values.withColumn("target", F.when(whole, jsonval.OBJECT).otherwise(F.col("target"))).withColumn("source_name", F.when(whole, "").otherwise(F.col("source_name"))).withColumn("name", F.when(whole, "").otherwise(F.col("name")))
+    return values.withColumn("failed", F.col("value_text").isNull() & F.col("kind").isNotNull()), types
 
 
 def typed_table(values: DataFrame, types: DataFrame, max_columns: int = 400) -> DataFrame:
-    """One row per note with typed columns: oid, base, path, okf_type, one column f_<name> per frequent field, rest.
+    """One row per note with typed columns: oid, base, path, okf_type, readable, one column f_<name> per frequent field, rest, failed.
+
+    readable is false for a note with null or unreadable frontmatter, which failed holds under the name ''.
 
     The max_columns most frequent names (then by name) become columns: double, boolean or string (lists and objects as
     JSON). rest maps all other names to their text, and failed maps names to the JSON of values that could not be cast:
@@ -229,11 +240,12 @@ def typed_table(values: DataFrame, types: DataFrame, max_columns: int = 400) ->
     target = {r["name"]: r["target"] for r in types.where(F.col("name").isin(top)).collect()} if top else {}
     pair = lambda v: F.map_from_entries(F.collect_list(v))
     # Two source names may meet under one final name: a value that could be cast counts, then the first by source name.
-    value = F.min_by(F.struct("raw", "value_text", "failed"), F.struct("failed", "source_name"))
+    value = F.min_by(F.struct("raw", "value_text", "failed", "kind"), F.struct("failed", "source_name"))
     note = ["oid", "base", "path", "okf_type"]
     one = values.groupBy(*note, "name").agg(value.alias("v")).groupBy(*note).agg(
-        pair(F.when(~F.col("v.failed"), F.struct("name", "v.value_text"))).alias("ok"),
+        pair(F.when(~F.col("v.failed") & F.col("name").isNotNull(), F.struct("name", "v.value_text"))).alias("ok"),
         pair(F.when(F.col("v.failed"), F.struct("name", "v.raw"))).alias("failed"),
+        F.bool_and(~F.coalesce("v.kind", F.lit(jsonval.OBJECT)).isin(UNREADABLE, MISSING)).alias("readable"),
     )
     used, columns = set(), []
     for name in top:
@@ -243,9 +255,12 @@ def typed_table(values: DataFrame, types: DataFrame, max_columns: int = 400) ->
         used.add(label.lower())
         columns.append(F.col("ok")[F.lit(name)].try_cast(_TARGET.get(target[name], "string")).alias(label))
     rest = F.map_filter("ok", lambda k, _: ~k.isin(top)) if top else F.col("ok")
-    return one.select("oid", "base", "path", "okf_type", *columns, rest.alias("rest"), "failed")
+    return one.select("oid", "base", "path", "okf_type", "readable", *columns, rest.alias("rest"), "failed")
 
 
 def failed_casts(values: DataFrame) -> DataFrame:
-    """(name, target, kind, n, example): how many values of each kind could not be cast to their field's type."""
+    """(name, target, kind, n, example): how many values of each kind could not be cast to their field's type.
+
+    Notes with null or unreadable frontmatter count under the name '', kinds 'missing' and 'unreadable'.
+    """
     return values.where("failed").groupBy("name", "target", "kind").agg(F.count("*").alias("n"), F.min(F.substring("raw", 1, 200)).alias("example"))
