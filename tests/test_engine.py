@@ -186,6 +186,20 @@ def test_search_edges(spark):
     assert near == {0: 1, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4} and search.knn_many(v.limit(0), v, 1).count() == 0
 
 
+def test_edge_chunks_with_ties(spark, small):
+    c = [("a", 3, 1), ("a", 2, 1), ("a", 9, 7), ("a", 8, 7), ("b", 5, 1), ("b", 4, 1), ("c", 7, None), ("c", 6, None), ("d", 1, None), ("d", 2, 5)]
+    df = spark.createDataFrame(c, "path string, chunk_id long, ord int")
+    for which, want in (("first", {("a", 2), ("b", 4), ("c", 6), ("d", 2)}), ("last", {("a", 9), ("b", 5), ("c", 7), ("d", 2)})):
+        assert {(r["path"], r["chunk_id"]) for r in browse.edge_chunks(df, which).collect()} == want
+    by_hash = df.withColumn("chunk_hash", F.col("chunk_id").cast("string")).drop("chunk_id")
+    assert {(r["path"], r["chunk_hash"]) for r in browse.edge_chunks(by_hash).collect()} == {("a", "2"), ("b", "4"), ("c", "6"), ("d", "2")}
+    best = {}
+    for r in spark.read.parquet(f"{small}/hits.parquet").collect():
+        best.setdefault(r["path"], set()).add((r["start_line"], r["hit_id"]))
+    for name, pick in (("first_chunk_all", min), ("last_chunk_all", max)):
+        assert {(r["path"], r["ord"], r["chunk_id"]) for r in entry.queries()[name](spark, small).collect()} == {(p, *pick(x)) for p, x in best.items()}
+
+
 def test_telemetry_edges(spark):
     schema = "tool string, ok boolean, error string, error_shape string, duration_ms double, req_bytes int, resp_bytes int, expected_mtime_set boolean, fields_set boolean, folder_set boolean, used_alias boolean, ts string, collection string, note_path string, chunk_hash string, flaws_emitted int, flaws_auto_fixed int, call_id long"
     none = spark.createDataFrame([], schema)

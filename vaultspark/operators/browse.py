@@ -93,11 +93,16 @@ def heading_matches(heading: Column, wanted: str, separator: str = SEPARATOR) ->
 
 
 def edge_chunks(chunks: DataFrame, which: str = "first", heading: str | None = None) -> DataFrame:
-    """The first or last chunk of each note by ord, perhaps only of those under a heading: one aggregate, no sort."""
+    """The first or last chunk of each note by ord, perhaps only of those under a heading: one aggregate, no sort.
+
+    Ties go by chunk_id and chunk_hash, those that the chunks have, in the order of navigation. Chunks without an ord count only where a note has no others.
+    """
     c = chunks if heading is None else chunks.where(heading_matches(F.col("heading"), heading))
-    pick = F.min_by if which == "first" else F.max_by
+    first = which == "first"
+    pick = F.min_by if first else F.max_by
+    place = F.struct((F.col("ord").isNull() if first else F.col("ord").isNotNull()).alias("last"), "ord", *[x for x in ("chunk_id", "chunk_hash") if x in chunks.columns])
     rest = [x for x in chunks.columns if x != "path"]
-    return c.groupBy("path").agg(pick(F.struct(*rest), "ord").alias("c")).select("path", *[f"c.{x}" for x in rest])
+    return c.groupBy("path").agg(pick(F.struct(*rest), place).alias("c")).select("path", *[f"c.{x}" for x in rest])
 
 
 def recent(notes: DataFrame, limit: int, folder: str | None = None, since: float | None = None, until: float | None = None, exclude: list[str] | None = None, offset: int = 0) -> DataFrame:

@@ -456,6 +456,7 @@ def _edge_sql(order: str) -> str:
 
 
 def _single(c):
+    """Chunks that share their place with no other: the SQL of first_chunk and last_chunk has no ties. See first_chunk_all."""
     return c.withColumn("same", F.count("*").over(Window.partitionBy("path", "ord"))).where("same = 1").drop("same")
 
 
@@ -469,6 +470,17 @@ def last_chunk(spark, d):
     return browse.edge_chunks(_single(chunks(spark, d)), "last").select("path", "chunk_id", "ord", "heading")
 
 
+@query()
+def first_chunk_all(spark, d):
+    """The first chunk of every note; of chunks at the same place the one with the least id."""
+    return browse.edge_chunks(chunks(spark, d)).select("path", "chunk_id", "ord", "heading")
+
+
+@query()
+def last_chunk_all(spark, d):
+    return browse.edge_chunks(chunks(spark, d), "last").select("path", "chunk_id", "ord", "heading")
+
+
 @query(f"WITH {_CHUNKS} SELECT path, chunk_id, ord, CAST(row_number() OVER w AS INTEGER) AS place, count(*) OVER (PARTITION BY path) AS total, lag(chunk_id) OVER w AS prev, lead(chunk_id) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY path ORDER BY ord, chunk_id)")
 def nav_prev_next(spark, d):
     return browse.navigation(chunks(spark, d))
