@@ -1,7 +1,9 @@
 """The engine's own operators on hand-made notes."""
 
 import json
+import re
 import subprocess
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,6 +202,29 @@ def test_edge_chunks_with_ties(spark, small):
         assert {(r["path"], r["ord"], r["chunk_id"]) for r in entry.queries()[name](spark, small).collect()} == {(p, *pick(x)) for p, x in best.items()}
 
 
+def plain_clean(text):
+    """undecorated() line by line."""
+    for pattern, to in ((r"\[([^\]]+)\]\([^)]+\)", r"\1"), ("\\*\\*([^\n\r\x85\u2028\u2029]+?)\\*\\*", r"\1"), (r"(?<!\*)\*([^*\n]+?)\*(?!\*)", r"\1")):
+        text = re.sub(pattern, to, text)
+    parts = LINE_END.split(text)
+    for pattern, to in ((r"\A#{1,6}[ \t]+", ""), (r"\A([ \t]*)[-*+][ \t]+", r"\1"), (r"\A>[ \t]?", "")):
+        parts[::2] = [re.sub(pattern, to, x) for x in parts[::2]]
+    return "".join(parts)
+
+
+LINE_END = re.compile("(\r\n|[\n\r\x85\u2028\u2029])")
+
+
+def test_texts_as_they_are(spark, small, tmp_path):
+    texts = ["*it* and **bold** \r\n# H \t\r\n- *x* y\n> q", "a \r\nb\t\rc \x85d \u2028e \u2029f ", "a*b*c ** d", "", None, "x  ", "* l\r\n* m *n*", "[t](u) *i*\u2028- l"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), small):
+        docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect() if r["text"] is not None}
+        ends = {k: sum(x.endswith((" ", "\t")) for x in LINE_END.split(t)[::2]) for k, t in docs.items()}
+        assert {r["doc_id"]: r["n"] for r in entry.queries()["trailing_ws_all"](spark, folder).collect()} == {k: n for k, n in ends.items() if n}
+        assert {r["doc_id"]: r["h"] for r in entry.queries()["text_clean_all"](spark, folder).collect()} == {k: md5(plain_clean(t).encode()).hexdigest() for k, t in docs.items()}
+
+
 def test_telemetry_edges(spark):
     schema = "tool string, ok boolean, error string, error_shape string, duration_ms double, req_bytes int, resp_bytes int, expected_mtime_set boolean, fields_set boolean, folder_set boolean, used_alias boolean, ts string, collection string, note_path string, chunk_hash string, flaws_emitted int, flaws_auto_fixed int, call_id long"
     none = spark.createDataFrame([], schema)

@@ -579,6 +579,11 @@ def trailing_ws(spark, d):
     return t.select("doc_id", tx.trailing_blank_lines(F.col("text")).cast("long").alias("n")).where("n > 0")
 
 
+@query()
+def trailing_ws_all(spark, d):
+    """Of the texts as they are: blanks before any line end count, CRLF included."""
+    return docs(spark, d).select("doc_id", tx.trailing_blank_lines(F.col("text")).cast("long").alias("n")).where("n > 0")
+
 
 @query()
 def lint_counts(spark, d):
@@ -687,6 +692,12 @@ def text_clean(spark, d):
     return t.select("doc_id", F.md5(tx.undecorated(F.col("t"))).alias("h"))
 
 
+@query()
+def text_clean_all(spark, d):
+    """Of all texts as they are, italics included."""
+    return docs(spark, d).where("text is not null").select("doc_id", F.md5(tx.undecorated(F.col("text"))).alias("h"))
+
+
 @query("SELECT doc_id, regexp_replace(CASE WHEN length(text) <= 120 THEN text WHEN regexp_matches(substr(text, 1, 120), '[ \\t\\n\\x0b\\f\\r]') THEN regexp_replace(regexp_extract(substr(text, 1, 120), '(?s)^(.*)[ \\t\\n\\x0b\\f\\r]', 1), '[ \\t\\n\\x0b\\f\\r]+$', '') ELSE substr(text, 1, 120) END, '', '') AS cut FROM documents WHERE text IS NOT NULL")
 def word_truncate(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", tx.cut_at_word(F.col("text"), 120).alias("cut"))
