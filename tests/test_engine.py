@@ -202,6 +202,14 @@ def test_edge_chunks_with_ties(spark, small):
         assert {(r["path"], r["ord"], r["chunk_id"]) for r in entry.queries()[name](spark, small).collect()} == {(p, *pick(x)) for p, x in best.items()}
 
 
+def test_infinite_durations_count_as_calls(spark, tmp_path):
+    inf = float("inf")
+    c = [("a", True, 2.0, 10), ("a", False, inf, 40), ("a", None, None, 10), ("b", True, -inf, 7), ("a", True, float("nan"), 0)]
+    spark.createDataFrame([(*x, True, None, True, False) for x in c], "tool string, ok boolean, duration_ms double, req_bytes int, expected_mtime_set boolean, fields_set boolean, folder_set boolean, used_alias boolean").withColumn("resp_bytes", F.lit(1)).write.parquet(f"{tmp_path}/tool_calls.parquet")
+    got = {r["tool"]: (r["calls"], r["ok"], r["error"], r["avg_duration_ms"], r["avg_req_bytes"], r["folder_set"]) for r in entry.queries()["calls_by_tool_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (4, 2, 2, round(2 / 3, 6), 15.0, 4), "b": (1, 1, 0, None, 7.0, 1)}
+
+
 def plain_clean(text):
     """undecorated() line by line."""
     for pattern, to in ((r"\[([^\]]+)\]\([^)]+\)", r"\1"), ("\\*\\*([^\n\r\x85\u2028\u2029]+?)\\*\\*", r"\1"), (r"(?<!\*)\*([^*\n]+?)\*(?!\*)", r"\1")):

@@ -11,9 +11,9 @@ FLAGS = ("expected_mtime_set", "fields_set", "folder_set", "used_alias")
 
 
 def _number(c: str) -> Column:
-    """A null or NaN measure counts as 0."""
+    """A null or NaN measure counts as 0; an infinite one is null, so that averages leave it out."""
     v = F.col(c).cast("double")
-    return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
+    return F.when(v.isNull() | (F.abs(v) != float("inf")), F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
 
 
 def _yes(c: str) -> Column:

@@ -59,9 +59,16 @@ _FLAG_SUMS = ", ".join(f"count(*) FILTER (WHERE {f}) AS {f}" for f in telemetry.
 
 @query(f"SELECT {_TOOL} AS tool, {_MEASURES}, {_FLAG_SUMS} FROM {_FINITE} GROUP BY 1")
 def calls_by_tool(spark, d):
+    """Without calls of infinite duration, as its SQL; see calls_by_tool_all."""
     return telemetry.by_tool(telemetry.finite(calls(spark, d)))
 
 
+@query()
+def calls_by_tool_all(spark, d):
+    """All calls count; those of infinite duration are left out of the average duration only."""
+    return telemetry.by_tool(calls(spark, d))
+
+
 @query(f"SELECT coalesce(nullif(error, ''), 'error') AS error, count(*) AS calls FROM tool_calls WHERE NOT {_OK} GROUP BY 1")
 def calls_by_error(spark, d):
     return telemetry.by_error(calls(spark, d))
