@@ -10,7 +10,7 @@ def quiet_periods(touches: DataFrame, key: str, ts: str, delay: str, watermark:
     """(key, first_ts, due, n): runs of touches less than `delay` apart; due is the last touch plus the delay.
 
     On a stream a watermark is needed, and a run comes out once the watermark has passed its end; touches later than the
-    watermark are dropped, which is what the periodic reconcile is for.
+    watermark are dropped; the full scan that would find them (R7) is not built.
     """
     t = touches.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_t", F.col(ts).cast("timestamp"))
     if watermark is not None:
