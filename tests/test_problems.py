@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from vaultspark.functions import jsonval
 from vaultspark.operators import drift, nested, sessions, snapshots, trees
 from vaultspark.plans import problems
 
@@ -176,7 +177,89 @@ def test_deep_and_odd_json(spark):
     texts = ["[" * 500 + "]" * 500, '{"a":' * 450 + "1" + "}" * 450, '{"a":' * 60 + "1" + "}" * 60, '{"k": "\\ud800"}', '{"\\ud800": {}}', '{"n": NaN}', "{}", '"\\"{}\\""', '{"a": 1e400}']
     df = spark.createDataFrame([(f"p{i}", 1.0, t, None) for i, t in enumerate(texts)], FILES)
     counts = {r["path"]: r["n"] for r in nested.nodes(df).groupBy("path").agg(F.count("*").alias("n")).collect()}
-    assert counts == {"p2": 60, "p3": 1, "p4": 2, "p6": 1, "p7": 1, "p8": 1}
+    assert counts == {"p1": 450, "p2": 60, "p3": 1, "p4": 2, "p6": 1, "p7": 1, "p8": 1}
+
+
+def test_notes_nested_thousands_deep(spark):
+    deep = lambda n, end: '{"okf_type":"a","k":' + '{"a":' * n + end + "}" * n + "}"
+    t = spark.createDataFrame([("t0", None), ("t1", "t0")], TREES)
+    r = spark.createDataFrame([("t0", "p", 1.0, deep(2000, "1")), ("t1", "p", 1.0, deep(2000, "2")), ("t0", "q", 1.0, deep(2000, "1")), ("t1", "q", 1.0, deep(2000, "1.0").replace(":", " : "))], REF)
+    f = spark.createDataFrame([("w", 1.0, deep(2000, "[{}]").replace('"k"', '"l"'), "t1"), ("lists", 1.0, '{"x":' + "[" * 3000 + "{}" + "]" * 3000 + "}", "t1")], FILES)
+    assert got(snapshots.catalog_changes(t, r)) == {("t1", "p", "changed")}
+    assert got(drift.field_changes(t, r, f)) == {("t1", "working", "a", "added", "l", ""), ("t1", "working", "a", "removed", "k", "")}
+    counts = {x["path"]: x["n"] for x in nested.nested_objects(f).groupBy("path").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"w": 2001, "lists": 1}
+    assert nested.list_elements(f).where("path = 'lists'").count() == 2999
+
+
+def test_readers_without_recursion():
+    rng = random.Random(5)
+
+    def value(d):
+        k = rng.random()
+        if d and k < 0.6:
+            return {rng.choice('abé"\\/') * rng.randint(0, 2): value(d - 1) for _ in range(rng.randint(0, 3))} if k < 0.35 else [value(d - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([None, True, 1, -2.5, 5.0, 1e30, "x", '"', "\ud800"])
+
+    for _ in range(300):
+        v = value(5)
+        text = json.dumps(v, indent=rng.choice([None, 1]))
+        assert jsonval.decode_deep(text) == v and jsonval.canonical_deep(v) == jsonval.canonical(v)
+        at = rng.randrange(len(text))
+        bad = text[:at] + rng.choice(["", "x", ",", "}", "]", '"']) + text[at + 1 :]
+        try:
+            want = json.loads(bad)
+        except ValueError:
+            with pytest.raises(ValueError):
+                jsonval.decode_deep(bad)
+        else:
+            assert repr(jsonval.decode_deep(bad)) == repr(want)
+
+
+def test_renames_follow_long_chains_and_circles(spark):
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(300)] + [("b", "c"), ("c", "a"), ("a", "b"), ("into", "c"), ("self", "self")]
+    rows_ = [("x", "y", "t", "renamed", a, b) for a, b in pairs] + [("x", "z", "u", "renamed", "n000", "other"), ("x", "z", "t", "added", "q", "")]
+    c = spark.createDataFrame(rows_, "from_oid string, to_oid string, okf_type string, change_kind string, field_name string, new_name string")
+    want = {("t", a, "n300") for a, _ in pairs[:300]} | {("t", x, "a") for x in ("a", "b", "c", "into")} | {("t", "self", "self"), ("u", "n000", "other")}
+    assert got(drift.renames(c)) == want
+    assert drift.renames(c.where("false")).count() == 0
+
+
+def test_both_ways_to_the_typed_table_agree(spark, small):
+    texts = ['{"okf_type": "a", "n": 1, "b": true, "s": "x"}', '{"okf_type": "a", "n": " -2.50e3 ", "b": " YES ", "s": 1.0, "l": 3}', '{"okf_type": "a", "n": "1_0", "b": 0, "s": [true], "l": [1]}', '{"okf_type": "a", "n": 1e400, "b": 7, "N": 1, "n`x": null}',
+             '{"okf_type": 5, "n": 12345678901, "s": {"k": "\\ud800"}, "o": {"z": 1}}', '{"okf_type": "a", "o": {"z": 1}, "n": 0.00012345, "s": 1e7}', "{}", "[]", None, '{"okf_type": "a", "n": "1d", "b": "maybe", "o": 4}', '{"okf_type": "b", "n": ' + "9" * 400 + "}"]
+    t = spark.createDataFrame([("a", None)], TREES)
+    r = spark.createDataFrame([("a", f"p{i}", 1.0, x) for i, x in enumerate(texts)] + [("a", "p0", 0.5, "{"), ("a", "p1", None, None)], REF)
+    f = spark.createDataFrame([("w", 1.0, texts[0], "a"), ("é", 1.0, texts[0], "a"), ("é", 2.0, texts[1], "a")], FILES)
+    for given, several in ((t, r, f), (0, 3)), (tuple(spark.read.parquet(f"{small}/{n}.parquet") for n in ("ref_trees", "ref_files", "files")), (400,)):
+        prepared, (values, types) = drift._prepared(*given), drift.unified(*given)
+        for columns in several:
+            wide, long = drift.typed_notes(*prepared, columns), drift.typed_table(values, types, columns)
+            assert wide.columns == long.columns and [x.dataType for x in wide.schema] == [x.dataType for x in long.schema]
+            plain = lambda df: sorted(repr([sorted(v.items()) if isinstance(v, dict) else v for v in x]) for x in df.collect())
+            assert plain(wide) == plain(long)
+    assert values.where("target = 'number' and not failed and value_number is null or target = 'boolean' and not failed and value_boolean is null").count() == 0
+
+
+def test_path_statistics_hold_nested_members(spark):
+    r = spark.createDataFrame([("a", "p", 1.0, '{"okf_type": "x", "o": {"k": 1, "l": [{"z": 1}], "n": null, "a/b": {}}}'), ("a", "q", 1.0, '{"okf_type": "x", "o": 3}')], REF)
+    n = drift.notes_of(drift.latest_notes(r, spark.createDataFrame([], FILES)), deep=True)
+    stats = {(x["name"], drift.KIND_ORDER[x["kind"]], x["n"]) for x in drift.path_statistics(n).collect()}
+    assert stats == {("/okf_type", "string", 2), ("/o", "object", 1), ("/o", "number", 1), ("/o/k", "number", 1), ("/o/l", "array", 1), ("/o/a~1b", "object", 1)}
+
+
+def test_filters_of_checked_size_lose_nothing(spark, monkeypatch):
+    from vaultspark.operators import prefilter
+
+    rows_, wanted = spark.range(5000).selectExpr("id", "cast(id as string) as s"), spark.range(0, 5000, 7).withColumn("s", F.col("id").cast("string"))
+    for most in (1 << 26, 1 << 16, 64):
+        monkeypatch.setattr(prefilter, "MOST", most)
+        monkeypatch.setattr(prefilter, "LEAST", min(most, 1 << 16))
+        kept = {x["id"] for x in prefilter.probably_in(rows_, wanted, "id", "s").collect()}
+        assert set(range(0, 5000, 7)) <= kept and (len(kept) < 1200) == (most > 64)
+        some, rest = (got(x) for x in prefilter.split_by(rows_, wanted, "id", "s"))
+        assert not some & rest and len(some | rest) == 5000 and {(i, str(i)) for i in range(0, 5000, 7)} <= some
+    assert prefilter.probably_in(rows_, wanted.where("false"), "id").count() == 0
 
 
 def brute_sessions(events, gap):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from hashlib import blake2b
 
@@ -22,30 +23,77 @@ _DECODER = json.JSONDecoder(parse_constant=_no_constant)
 _ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"))
 
 
-#: Values nested deeper than this are not readable, so that no later walk runs out of stack.
-MAX_DEPTH = 400
-
-
-def _too_deep(value: object) -> bool:
-    level = [value]
-    for _ in range(MAX_DEPTH):
-        level = [c for v in level if type(v) in (dict, list) for c in (v.values() if type(v) is dict else v)]
-        if not level:
-            return False
-    return True
+_STRING_OR_SCALAR = json.JSONDecoder(parse_constant=_no_constant).raw_decode
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def decode_deep(text: str):
+    """The value of a JSON text of any depth: containers on a stack of its own, scalars by the library's reader."""
+    skip = lambda at: _BLANK.match(text, at).end()
+    at, stack, value, have = skip(0), [], None, False  # stack: [container, key of the member that comes next]
+    while True:
+        if not have:
+            sign = text[at : at + 1]
+            if sign in ("{", "["):
+                stack.append([{} if sign == "{" else [], None])
+                at = skip(at + 1)
+                if text[at : at + 1] == ("}" if sign == "{" else "]"):
+                    value, have, at = stack.pop()[0], True, at + 1
+                elif sign == "{":
+                    stack[-1][1], at = _member(text, at, skip)
+                continue
+            if not sign:
+                raise ValueError("text ends too early")
+            value, at = _STRING_OR_SCALAR(text, at)
+            have = True
+            continue
+        at = skip(at)
+        if not stack:
+            if at != len(text):
+                raise ValueError("text goes on after the value")
+            return value
+        top, sign = stack[-1], text[at : at + 1]
+        if type(top[0]) is dict:
+            top[0][top[1]] = value
+        else:
+            top[0].append(value)
+        if sign == ",":
+            at, have = skip(at + 1), False
+            if type(top[0]) is dict:
+                top[1], at = _member(text, at, skip)
+        elif sign == ("}" if type(top[0]) is dict else "]"):
+            value, at = stack.pop()[0], at + 1
+        else:
+            raise ValueError(f"no JSON at {at}")
+
+
+def _member(text: str, at: int, skip) -> tuple[str, int]:
+    """(name, place of the value) of an object's member."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    name, at = _STRING_OR_SCALAR(text, at)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return name, skip(at + 1)
+
+
+def _decode(text: str):
+    try:
+        return _DECODER.decode(text)
+    except RecursionError:  # nested deeper than the library's reader goes; the same values, only slower
+        return decode_deep(text)
 
 
 def readable(text: str | None) -> dict | None:
-    """The object that text holds, directly or as a string that itself holds such text; None for anything else."""
+    """The object that text holds, directly or as a string that itself holds such text; None for anything else. Any depth."""
     value = text
     try:
         while isinstance(value, str):
-            value = _DECODER.decode(value)
-    except (ValueError, RecursionError):
+            value = _decode(value)
+    except ValueError:
         return None
-    if not isinstance(value, dict) or text.count("{") + text.count("[") > MAX_DEPTH and _too_deep(value):
-        return None
-    return value
+    return value if isinstance(value, dict) else None
 
 
 def kind(value: object) -> str:
@@ -65,8 +113,36 @@ def _plain(value):
 
 
 def canonical(value: object) -> str:
-    """One ASCII text per JSON value: sorted keys, no blanks, one spelling of each number and string."""
-    return _ENCODER.encode(_plain(value))
+    """One ASCII text per JSON value: sorted keys, no blanks, one spelling of each number and string. Any depth."""
+    try:
+        return _ENCODER.encode(_plain(value))
+    except RecursionError:
+        return canonical_deep(value)
+
+
+def canonical_deep(value: object) -> str:
+    """What canonical() gives, by a stack of its own."""
+    out: list[str] = []
+    todo: list = [(value,)]  # (value,) is still to be written, a str is written as it is
+    while todo:
+        item = todo.pop()
+        if type(item) is str:
+            out.append(item)
+            continue
+        v = item[0]
+        if type(v) is dict:
+            parts: list = ["{"]
+            for i, k in enumerate(sorted(v)):
+                parts += [("," if i else "") + _ENCODER.encode(k) + ":", (v[k],)]
+            todo += reversed([*parts, "}"])
+        elif type(v) is list:
+            parts = ["["]
+            for i, c in enumerate(v):
+                parts += [",", (c,)] if i else [(c,)]
+            todo += reversed([*parts, "]"])
+        else:
+            out.append(_ENCODER.encode(_plain(v)))
+    return "".join(out)
 
 
 def digest(text: str) -> int:

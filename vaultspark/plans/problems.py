@@ -13,7 +13,13 @@ def p1_found(spark, d):
 
 
 def p1_table(spark, d):
-    return drift.typed_table(*drift.unified(table(spark, d, "ref_trees"), table(spark, d, "ref_files"), table(spark, d, "files")))
+    return drift.consistent_table(table(spark, d, "ref_trees"), table(spark, d, "ref_files"), table(spark, d, "files"))
+
+
+def p1_paths(spark, d):
+    """Path-kind statistics of each tree and of the working copies, members of nested objects included."""
+    notes = drift.notes_of(drift.latest_notes(table(spark, d, "ref_files"), table(spark, d, "files")), deep=True)
+    return drift.path_statistics(notes).withColumn("kind", drift.kind_name(F.col("kind")))
 
 
 def p1_failed_casts(spark, d):
@@ -60,7 +66,7 @@ def p5_counts(spark, d):
     return p5_found(spark, d).groupBy("tree_oid", "change_kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p2_found, p2_variants, p2_supertypes, p2_subtypes, p2_elements, p4_found, p4_sessions, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_paths, p1_failed_casts, p2_found, p2_variants, p2_supertypes, p2_subtypes, p2_elements, p4_found, p4_sessions, p5_found, p5_counts)}
 
 _CALLS_SQL = r"""
 raw AS (
