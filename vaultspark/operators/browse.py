@@ -35,14 +35,20 @@ def backlinks(link_rows: DataFrame, keys: list[str], exclude_source: str | None
 def backlink_counts(link_rows: DataFrame, notes: DataFrame) -> DataFrame:
     """(path, n_links, n_sources) of each note that others link to, by key or by last part; links of a note to itself don't count.
 
-    Two equi-joins instead of one on a disjunction; a link that fits both ways counts once.
+    Links are counted per last part before any join, so a name that many notes and many links share makes no pairs of them. A
+    link that fits a note's whole key has its last part too; only names with dots that are no note suffixes need the key as well.
     """
     targets = notes.where("path is not null").select("path", note_keys(F.col("path")).alias("k"), F.lower(stem(F.col("path"))).alias("s")).distinct()
-    l = link_rows.select("source", "line", "key", "stem", "text")
-    by_key = l.join(targets, l["key"] == targets["k"]).select("path", "source", "line", "key", "text")
-    by_stem = l.join(targets, l["stem"] == targets["s"]).select("path", "source", "line", "key", "text")
-    hit = by_key.union(by_stem).where("source <> path").distinct()
-    return hit.groupBy("path").agg(F.count("*").alias("n_links"), F.countDistinct("source").alias("n_sources"))
+    targets = targets.withColumn("odd", F.element_at(F.split("k", "/"), -1) != F.col("s"))
+    l = link_rows.where("source is not null").select("source", "line", "key", "stem", "text").distinct()
+    per = l.groupBy("stem").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
+    own = l.join(targets.where("not odd"), (l["source"] == targets["path"]) & (l["stem"] == targets["s"])).groupBy("path").agg(F.count("*").alias("own"))
+    plain = targets.where("not odd").join(per, F.col("s") == F.col("stem")).join(own, "path", "left").na.fill(0, ["own"])
+    plain = plain.select("path", (F.col("n") - F.col("own")).alias("n_links"), (F.col("n_sources") - F.when(F.col("own") > 0, 1).otherwise(0)).cast("long").alias("n_sources")).where("n_links > 0")
+    names = targets.where("odd").select("path", F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.col("k").alias("name")), F.struct(F.lit(False).alias("whole"), F.col("s").alias("name")))).alias("x")).select("path", "x.*")
+    found = l.select("*", F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.col("key").alias("name")), F.struct(F.lit(False).alias("whole"), F.col("stem").alias("name")))).alias("x")).select("source", "line", "key", "text", "x.*")
+    hit = found.join(names, ["whole", "name"]).where("source <> path").select("path", "source", "line", "key", "text").distinct()
+    return plain.unionByName(hit.groupBy("path").agg(F.count("*").alias("n_links"), F.countDistinct("source").alias("n_sources")))
 
 
 def resolved_links(link_rows: DataFrame, notes: DataFrame) -> DataFrame:

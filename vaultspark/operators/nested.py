@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import jsonval
 from vaultspark.functions.arrow import arrow_fn
+from vaultspark.session import cut_to_table
 
 _FIELD = pa.struct([("name", pa.string()), ("kind", pa.string()), ("raw", pa.string())])
 _ELEMENT = pa.struct([("parent_ptr", pa.string()), ("name", pa.string()), ("list_ptr", pa.string()), ("position", pa.int32()), ("kind", pa.string()), ("raw", pa.string())])
@@ -135,24 +136,51 @@ def supertypes(variant_rows: DataFrame) -> DataFrame:
     return k.select("role", "key", F.when(F.size("kinds") == 1, F.element_at("kinds", 1)).otherwise(F.lit("mixed")).alias("kind"), "n", ((F.col("n") == F.col("n_role")) & (F.size("kinds") == 1)).alias("common"))
 
 
+def nodes_once(files: DataFrame) -> DataFrame:
+    """nodes(), written once to the shared folder in order of role and state: what follows reads it as often as it needs.
+
+    The rows of one variant lie together, so that reading one of them skips the rest by the statistics of the files.
+    """
+    return cut_to_table(nodes(files).repartitionByRange("role", "state", "path").sortWithinPartitions("role", "state"), "nodes")
+
+
+def _scalar(f: Column) -> Column:
+    """A string member's content; of other scalars their JSON."""
+    return F.when(f["kind"] == jsonval.STRING, F.get_json_object(F.concat(F.lit('{"v":'), f["raw"], F.lit("}")), "$.v")).otherwise(f["raw"])
+
+
 def subtype_rows(node_rows: DataFrame) -> DataFrame:
-    """Each object routed to its variant: path, node_ptr, parent_ptr, role, state, common, own.
+    """Each object routed to its variant: path, node_ptr, parent_ptr, role, state, common, own, numbers, booleans, strings.
 
     common maps the keys that every variant of the role shares to canonical JSON (the supertype's columns), own maps the
-    variant's other scalar members. Nested objects are rows of their own, other elements of lists are rows of list_elements();
-    both are reached by parent_ptr.
+    variant's other scalar members. numbers, booleans and strings hold all scalar members by their types: all rows of a state
+    have the same keys there, so they are the typed subtype tables of all variants in one. Nested objects are rows of their
+    own, other elements of lists are rows of list_elements(); both are reached by parent_ptr. node_rows is read twice: see
+    nodes_once. The keys of the supertypes, one row per role, are all that is joined.
     """
     keys = supertypes(variants(node_rows)).where("common").groupBy("role").agg(F.collect_set("key").alias("keys"))
     j = node_rows.join(keys, "role", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     scalar = F.filter("fields", lambda f: f["raw"].isNotNull())
-    as_map = lambda a: F.map_from_entries(F.transform(a, lambda f: F.struct(f["name"], f["raw"])))
+    as_map = lambda a, value=lambda f: f["raw"]: F.map_from_entries(F.transform(a, lambda f: F.struct(f["name"], value(f))))
+    of = lambda kind: F.filter("fields", lambda f: f["kind"] == kind)
     return j.select(
         "path", "node_ptr", "parent_ptr", "role", "state",
         as_map(F.filter(scalar, lambda f: F.array_contains(F.col("keys"), f["name"]))).alias("common"),
         as_map(F.filter(scalar, lambda f: ~F.array_contains(F.col("keys"), f["name"]))).alias("own"),
+        as_map(of(jsonval.NUMBER), lambda f: f["raw"].try_cast("double")).alias("numbers"),
+        as_map(of(jsonval.BOOLEAN), lambda f: f["raw"].try_cast("boolean")).alias("booleans"),
+        as_map(of(jsonval.STRING), _scalar).alias("strings"),
     )
 
 
+def write_subtypes(files: DataFrame, folder: str) -> None:
+    """The typed tables of all variants in one write: subtype_rows, clustered by role and state.
+
+    A variant's table is the rows of its role and state; see subtype_table for its columns by name.
+    """
+    subtype_rows(nodes_once(files)).repartitionByRange("role", "state", "path").sortWithinPartitions("role", "state").write.mode("overwrite").parquet(folder)
+
+
 _CAST = {jsonval.NUMBER: "double", jsonval.BOOLEAN: "boolean", jsonval.STRING: "string"}
 
 
@@ -172,6 +200,6 @@ def subtype_table(node_rows: DataFrame, role: str, state: str) -> DataFrame:
                 name += "_"
             used.add(name.lower())
             raw = F.col("fields")[i]["raw"]
-            value = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v") if f["kind"] == jsonval.STRING else raw.try_cast(_CAST[f["kind"]])
+            value = _scalar(F.col("fields")[i]) if f["kind"] == jsonval.STRING else raw.try_cast(_CAST[f["kind"]])
             columns.append(value.alias(name))
     return own.select("path", "node_ptr", "parent_ptr", *columns)

@@ -33,11 +33,6 @@ def _measures() -> list[Column]:
     ]
 
 
-def finite(calls: DataFrame) -> DataFrame:
-    """Calls whose duration isn't infinite, for averages."""
-    return calls.where("duration_ms is null or abs(duration_ms) <> double('inf')")
-
-
 def tool_name() -> Column:
     return F.coalesce(F.nullif(F.col("tool"), F.lit("")), F.lit("?"))
 
@@ -151,12 +146,14 @@ def remap_default(calls: DataFrame, vault_ids: list[str]) -> DataFrame:
     return calls.withColumn("collection", F.when(hit, F.col("vault_id")).otherwise(F.col("collection")))
 
 
-def private_paths(calls: DataFrame, mode: str = "hash_only") -> DataFrame:
-    """note_path by privacy mode: 'none' drops path and hash, 'hash_only' the path, 'vault_relative' keeps both."""
-    if mode not in ("none", "hash_only", "vault_relative"):
+def private_paths(calls: DataFrame, mode: str = "hash_only", root: str = "") -> DataFrame:
+    """note_path by privacy mode: 'none' drops path and hash, 'hash_only' the path, 'vault_relative' keeps both; 'absolute' keeps both
+    with the vault's root before the path. A null path stays null."""
+    if mode not in ("none", "hash_only", "vault_relative", "absolute"):
         raise ValueError(f"unknown mode {mode!r}")
     nothing = F.lit(None).cast("string")
-    path = F.col("note_path") if mode == "vault_relative" else nothing
+    whole = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("note_path", "^/+", ""))
+    path = F.col("note_path") if mode == "vault_relative" else whole if mode == "absolute" else nothing
     return calls.withColumn("note_path", path).withColumn("path_hash", nothing if mode == "none" else F.col("path_hash"))
 
 

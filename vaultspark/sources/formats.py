@@ -47,13 +47,24 @@ def tables(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else markdown.tables(t.split("\n")) for t in text.to_pylist()], pa.list_(TABLE))
 
 
+def _graph(text: str) -> dict:
+    d = mermaid.parse(text)
+    return d | {"nodes": [{"id": n[0], "label": n[1], "group": n[2]} for n in d["nodes"]], "edges": [{"from": e[0], "to": e[1], "label": e[2]} for e in d["edges"]]}
+
+
 @arrow_fn(DIAGRAM)
 def diagram(text: pa.Array) -> pa.Array:
-    def one(t):
-        d = mermaid.parse(t)
-        return d | {"nodes": [{"id": n[0], "label": n[1], "group": n[2]} for n in d["nodes"]], "edges": [{"from": e[0], "to": e[1], "label": e[2]} for e in d["edges"]]}
+    return pa.array([None if t is None else _graph(t) for t in text.to_pylist()], DIAGRAM)
+
+
+@arrow_fn(pa.list_(DIAGRAM))
+def diagrams(text: pa.Array, path: pa.Array) -> pa.Array:
+    """The diagrams of a document in order: a .mmd file is one, other texts hold them in fenced blocks. Null for a null text."""
+
+    def of(t: str, p: str) -> list[dict]:
+        return [_graph(t)] if p.lower().endswith(".mmd") else [_graph(b) for _, b in markdown.diagram_blocks(t.split("\n"))]
 
-    return pa.array([None if t is None else one(t) for t in text.to_pylist()], DIAGRAM)
+    return pa.array([None if t is None else of(t, p or "") for t, p in zip(text.to_pylist(), path.to_pylist())], pa.list_(DIAGRAM))
 
 
 @arrow_fn(_S)
