@@ -251,3 +251,54 @@ def test_spans_of_nothing(spark):
     assert spans.shared_spans(df).count() == 0
     with pytest.raises(ValueError):
         spans.shared_spans(df, 30)
+
+
+def test_time_of_splitting_is_linear_in_the_text(spark):
+    import time
+
+    def seconds(times):
+        text = "# Head\ntext. more\n\n```\ncode\n```\nline\n" * times
+        df = spark.createDataFrame([(1, text, 1, "h")], HITS)
+        start = time.time()
+        assert splitting.natural_boundaries(df).count() == 2 * times and splitting.pieces(df).agg(F.max("end_line")).first()[0] == 7 * times
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(10_000) < 60  # 20,000 boundaries; it took minutes when each looked at all fences before it
+
+
+def test_candidates_beyond_a_text_are_no_windows(spark):
+    d = spark.createDataFrame([(5, "ab" * 150), (3, "ab" * 150), (4, "c" * 220)], "doc_id long, text string")
+    key = d.where("doc_id <> 5").select(F.xxhash64("text").alias("key"), F.expr("array(struct(90 as lo, 10000 as hi), struct(500 as lo, 600 as hi))").alias("ranges"))
+    got = spans.window_rows(d, key).groupBy("key").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"), F.countDistinct("h", "g").alias("m")).collect()
+    assert {tuple(r) for r in got} == {(3, 90, 100, 11, 2)}
+
+
+def test_no_token_lies_across_a_cut(plain_encoder):
+    e = tokenizer.encoder(tokenizer.VOCABULARY)
+    rng = random.Random(2)
+    alphabets = ["abcde", "日本語中文", [chr(c) for c in range(0x4E00, 0x4F00)], [chr(c) for c in range(0xE01, 0xE2F)], "=-", [chr(c) for c in range(0x1F600, 0x1F640)], "é̈́ü"]
+    for _ in range(200):
+        piece = "".join(rng.choice(rng.choice(alphabets) if rng.random() < 0.1 else alphabets[2]) for _ in range(rng.randint(12, 300)))
+        parts = e._cut(piece.encode())
+        assert b"".join(parts) == piece.encode() and len(parts) > 1
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (40, 300, 1200)]
+    ids, at = e.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [plain_encoder(t) for t in texts]
+
+
+def test_rank_errors_are_exact(spark):
+    rows = spark.createDataFrame([("a", float(v)) for v in [1, 2, 2, 2, 3]] + [(None, 5.0)], "k string, value double")
+    said = spark.createDataFrame([("a", 2.0, 9.0), (None, 5.0, 4.0)], "k string, p50 double, p99 double")
+    got = {r["k"]: (r["n"], round(r["p50_error"], 6), round(r["p99_error"], 6)) for r in quantiles.rank_errors(rows, said, "k", ranks={"p50": 0.5, "p99": 0.99}).collect()}
+    assert got == {"a": (5, 0.0, 0.01), None: (1, 0.0, 0.99)}
+
+
+def test_facts_find_a_wrong_packing(spark):
+    sized = spark.createDataFrame([(1, 5), (2, 7), (3, 25), (4, 0)], "doc_id long, n_tokens long")
+    right = packing.pack_sizes(sized, 10, (4,))
+    facts = lambda p: {r["fact"]: r["n"] for r in packing.facts(sized, p, 10).collect()}
+    good = facts(right)
+    assert good.pop("texts in containers") == 3 and good.pop("texts without tokens") == 1 and not any(good.values())
+    bad = facts(right.where("not (doc_id = 3 and piece = 1)").withColumn("offset", F.col("offset") + 1))
+    assert bad["tokens missing or twice"] and bad["pieces that overlap or leave a gap"] and bad["pieces beyond the capacity"]

@@ -21,7 +21,6 @@ CAPACITY = 2048
 GROUPS = (48, 64, 80)
 #: Items up to capacity / SMALL are small: they are filled in by best fit.
 SMALL = 3
-_RANK = 1 << 44
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -197,12 +196,15 @@ def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ..
     items = cut(pieces(sized.select("doc_id", "n_tokens"), capacity))
     histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}
     p = min((plan(histogram, capacity, g) for g in groups), key=lambda rows: int((rows[:, 2] + rows[:, 3]).max(initial=0)))
-    keys, rank0 = p[:, 0] * _RANK + p[:, 1], p[:, 1]
+    span = 1 << (62 - capacity.bit_length())  # ranks of one size; size and rank are one 63-bit key
+    if max(histogram.values(), default=0) >= span:
+        raise ValueError(f"more than {span} items of one size at capacity {capacity}")
+    keys, rank0 = p[:, 0] * span + p[:, 1], p[:, 1]
     target = StructType([StructField(n, LongType()) for n in ("container", "place", "offset")])
 
     def locate(size: pa.Array, rank: pa.Array) -> pa.Array:
         s, r = size.to_numpy(zero_copy_only=False).astype(np.int64), rank.to_numpy(zero_copy_only=False)
-        at = np.searchsorted(keys, s * _RANK + r, "right") - 1
+        at = np.searchsorted(keys, s * span + r, "right") - 1
         return pa.StructArray.from_arrays([pa.array(p[at, 3] + r - rank0[at]), pa.array(p[at, 4]), pa.array(p[at, 5])], names=["container", "place", "offset"])
 
     found = F.arrow_udf(locate, target)(F.col("size"), F.col("rank"))
@@ -214,3 +216,26 @@ def pack_sizes(sized: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ..
 def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """pack_sizes of documents.text, measured in tokens of the vocabulary."""
     return pack_sizes(documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("n_tokens")), capacity, groups)
+
+
+def facts(sized: DataFrame, packed: DataFrame, capacity: int = CAPACITY, slack: float = 0.01) -> DataFrame:
+    """(fact, n): what can be said of a packing (pack_sizes) of texts (doc_id, n_tokens; unique ids). All but the first two are 0 in a
+    right one; 'containers above the bound' counts those beyond the least possible number and a share `slack` (one at least)."""
+    place = Window.partitionBy("container").orderBy("place")
+    piece = Window.partitionBy("doc_id").orderBy("piece")
+    p = packed.select(
+        "*", F.row_number().over(place).alias("_nth"), F.coalesce(F.lag(F.col("offset") + F.col("n_tokens")).over(place), F.lit(0)).alias("_from"),
+        F.coalesce(F.lag(F.col("token_start") + F.col("n_tokens")).over(piece), F.lit(0)).alias("_start"), F.count("*").over(Window.partitionBy("doc_id")).alias("_pieces"),
+    )
+    n = lambda test: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).cast("long")
+    per_doc = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"))
+    docs = sized.join(per_doc, "doc_id", "left").agg(
+        n(F.col("placed") > 0).alias("a"), n(F.coalesce("n_tokens", F.lit(0)) == 0).alias("b"), n(F.coalesce("placed", F.lit(0)) != F.coalesce("n_tokens", F.lit(0))).alias("c"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    rows = p.agg(
+        n((F.col("_pieces") > 1) & (F.col("_pieces") > F.ceil((F.col("token_start") + F.col("n_tokens")) / capacity)) & (F.col("piece") == F.col("_pieces") - 1)).alias("d"), n(F.col("offset") + F.col("n_tokens") > capacity).alias("e"),
+        n(F.col("offset") != F.col("_from")).alias("f"), n(F.col("token_start") != F.col("_start")).alias("g"), n(F.col("place") != F.col("_nth") - 1).alias("h"), F.countDistinct("container").alias("containers"), F.coalesce(F.max("container") + 1, F.lit(0)).alias("last"))
+    j = docs.crossJoin(rows)  # one row each
+    least = F.ceil(F.col("total") / capacity)
+    bound = least + F.greatest(F.lit(1), F.ceil(least * slack))
+    named = {"texts in containers": F.col("a"), "texts without tokens": F.col("b"), "pieces of texts that fit cut up": F.col("d"), "pieces beyond the capacity": F.col("e"), "pieces that overlap or leave a gap": F.col("f"), "tokens missing or twice": F.col("c") + F.col("g"), "places not in order": F.col("h") + F.col("last") - F.col("containers"), "containers above the bound": F.greatest(F.lit(0), F.col("containers") - bound)}
+    return j.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), v.cast("long").alias("n")) for k, v in named.items()])).alias("x")).select("x.*")

@@ -28,9 +28,10 @@ def durations_once(calls: DataFrame) -> DataFrame:
     us = F.coalesce(instant_us(F.col("ts")), F.unix_micros(F.col("received_at").cast("timestamp")))
     slim = calls.select("call_id", "received_at", "tool", "collection", F.col("duration_ms").alias("value"), F.to_date(F.timestamp_micros(us)).alias("day"))
     slim = slim.where((F.col("value") >= 0) & ~F.isnan("value") & (F.col("value") != float("inf")))
-    first = Window.partitionBy("call_id").orderBy("received_at", "value", "tool", "collection", "day")
-    once = slim.where("call_id is not null").withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
-    return once.unionByName(slim.where("call_id is null")).select("day", "tool", "collection", "value")
+    # Rows without an id are told apart, and spread, by their place in the table: one scan serves both kinds.
+    own = slim.withColumn("row", F.when(F.col("call_id").isNull(), F.monotonically_increasing_id()))
+    first = Window.partitionBy("call_id", "row").orderBy("received_at", "value", "tool", "collection", "day")
+    return own.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("day", "tool", "collection", "value")
 
 
 def sketches(rows: DataFrame, *by: str, value: str = "value", k: int = K) -> DataFrame:
@@ -62,3 +63,18 @@ def daily_sketches(calls: DataFrame, k: int = K) -> DataFrame:
 def percentiles(calls: DataFrame, k: int = K) -> DataFrame:
     """(tool, collection, n, p50, p90, p99) over all days, from the days' sketches."""
     return answers(merged(daily_sketches(calls, k), "tool", "collection", k=k), "tool", "collection")
+
+
+def rank_errors(rows: DataFrame, answered: DataFrame, *by: str, ranks: dict[str, float] = RANKS, value: str = "value") -> DataFrame:
+    """(by..., n, <name>_error per rank): how far each answer's rank is from the rank asked for, as a share of all values; exact.
+
+    An answer among equal values has all their ranks. Values are counted, never sorted: one aggregate, combined before its shuffle.
+    """
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    j = rows.alias("r").join(answered.alias("a"), on)
+    counts = j.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.count("*").alias("n"), *[F.struct(F.sum(F.when(F.col(f"r.{value}") < F.col(f"a.{x}"), 1).otherwise(0)).alias("below"), F.sum(F.when(F.col(f"r.{value}") <= F.col(f"a.{x}"), 1).otherwise(0)).alias("upto")).alias(x) for x in ranks])
+    error = lambda x, q: F.greatest(F.col(f"{x}.below") / F.col("n") - q, q - F.col(f"{x}.upto") / F.col("n"), F.lit(0.0))
+    return counts.select(*by, "n", *[error(x, q).alias(f"{x}_error") for x, q in ranks.items()])

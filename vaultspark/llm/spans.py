@@ -12,8 +12,9 @@ texts are shared. Between levels everything that is in one text only is dropped,
 what is shared in the end.
 
 Every comparison is a groupBy with min and max of the text's key, combined before the shuffle: a passage that a third of all
-texts hold costs no more than any other. Copies of a text have the same key and are handled once. Keys and hashes have 64 bits;
-at n candidate windows the expected number of wrongly joined ones is n squared / 2**65 (10 million: 3e-6).
+texts hold costs no more than any other. Copies of a text are handled once. The lower levels compare 64-bit hashes, where a wrong
+match only costs work; the last level compares 128 bits, two independent hashes of each window, so at n candidate windows the
+expected number of wrongly joined ones is n squared / 2**129 (10**12: 2e-15). Copies are told by 96 bits and their length.
 """
 
 from __future__ import annotations
@@ -29,44 +30,46 @@ from vaultspark.operators.prefilter import probably_in
 from vaultspark.session import cut
 
 WIDTH = 200
-_POS = 28  # bits of a position within a slice
+_POS = 31  # bits of a position within a slice: no text has more code points than the JVM's longest string has bytes
 _SLICE = 1 << 20
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: The multipliers of the second hash.
+_MIX_2 = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+def _scramble(x: np.ndarray, mix: list) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * mix[1]
     return x ^ (x >> np.uint64(31))
 
 
-def _joined(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+def _joined(a: np.ndarray, b: np.ndarray, size: int, mix: list) -> np.ndarray:
     """Hashes of windows that begin with a window of a, `size` long, and go on with one of b."""
     n = max(0, min(len(a), len(b) - size))
-    return _scramble(a[:n] * _MIX[0] + b[size : size + n] * _MIX[2])
+    return _scramble(a[:n] * mix[0] + b[size : size + n] * mix[2], mix)
 
 
-def _of_length(codes: np.ndarray, length: int) -> np.ndarray:
+def _of_length(codes: np.ndarray, length: int, mix: list) -> np.ndarray:
     """Hashes of all windows of one length, put together from those of powers of two."""
-    power, size = _scramble((codes.astype(np.uint64) + np.uint64(1)) * _MIX[0]), 1
+    power, size = _scramble((codes.astype(np.uint64) + np.uint64(1)) * mix[0], mix), 1
     whole, done = None, 0
     while True:
         if length & size:
-            whole = power if whole is None else _joined(whole, power, done)
+            whole = power if whole is None else _joined(whole, power, done, mix)
             done += size
         if done == length:
             return whole
-        power, size = _joined(power, power, size), size * 2
+        power, size = _joined(power, power, size, mix), size * 2
 
 
-def window_hashes(codes: np.ndarray, shortest: int, doublings: int) -> list[np.ndarray]:
+def window_hashes(codes: np.ndarray, shortest: int, doublings: int, mix: list = _MIX) -> list[np.ndarray]:
     """Hashes of all windows of the shortest length, twice that length and so on; the one at i covers codes[i : i + length]."""
-    out = [_of_length(codes, shortest)]
+    out = [_of_length(codes, shortest, mix)]
     for level in range(doublings):
-        out.append(_joined(out[-1], out[-1], shortest << level))
+        out.append(_joined(out[-1], out[-1], shortest << level, mix))
     return out
 
 
@@ -79,11 +82,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def slices(texts: list[str | None], limit: int = _SLICE):
-    """(numbers of texts, their lengths) so that a slice has about `limit` characters; a longer text is a slice of its own."""
+    """Numbers of texts, so that a slice has about `limit` characters; a longer text is a slice of its own."""
     part, size = [], 0
     for i, t in enumerate(texts):
         if t is None:
             continue
+        if part and size + len(t) > limit:
+            yield part
+            part, size = [], 0
         part.append(i)
         size += len(t)
         if size >= limit:
@@ -181,13 +187,20 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(lo) - 1]]
 
 
-_WINDOW = StructType([StructField("pos", IntegerType()), StructField("h", LongType())])
+_WINDOW = StructType([StructField("pos", IntegerType()), StructField("h", LongType()), StructField("g", LongType())])
+_COPY = ("key", "more", "n")
+
+
+def _identity(documents: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, more, n): what tells the texts of at least width characters apart, two hashes and the length."""
+    return documents.where(F.length("text") >= width).select("doc_id", F.xxhash64("text").alias("key"), F.hash("text").alias("more"), F.length("text").alias("n"))
 
 
 def window_rows(documents: DataFrame, candidates: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, pos, h) of every candidate window, each once; of copies of a text only one is read."""
-    one = documents.where(F.length("text") >= width).groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    wanted = cut(candidates.join(one, "key"))
+    """(key, pos, h, g) of every candidate window, each once; of copies of a text only the one of the least doc_id is read, and
+    that doc_id is the key. h and g are the window's two hashes."""
+    one = _identity(documents, width).groupBy(*_COPY).agg(F.min("doc_id").alias("doc_id"))
+    wanted = cut(candidates.join(one.select("key", "doc_id"), "key").drop("key"))
     texts = probably_in(documents.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
 
     def windows(text: pa.Array, ranges: pa.Array) -> pa.Array:
@@ -195,18 +208,23 @@ def window_rows(documents: DataFrame, candidates: DataFrame, width: int = WIDTH)
         ends = ranges.offsets.to_numpy()
         lo, hi = (ranges.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
         ends = ends - ends[0]
-        pos, h, n = [], [], np.zeros(len(t), np.int64)
+        pos, h, g, n = [], [], [], np.zeros(len(t), np.int64)
         for i, whole in enumerate(t):
-            a, b = _merged(lo[ends[i] : ends[i + 1]], hi[ends[i] : ends[i + 1]])
+            # Texts of one 64-bit key have their candidates together; starts beyond a text's own last window aren't its.
+            a, b = _merged(lo[ends[i] : ends[i + 1]], np.minimum(hi[ends[i] : ends[i + 1]], len(whole) - width))
             for x, y in zip(a.tolist(), b.tolist()):
+                if x > y:
+                    continue
+                codes = _codes(whole[x : y + width])
                 pos.append(np.arange(x, y + 1, dtype=np.int32))
-                h.append(window_hashes(_codes(whole[x : y + width]), width // 4, 2)[2].view(np.int64))
+                h.append(window_hashes(codes, width // 4, 2)[2].view(np.int64))
+                g.append(window_hashes(codes, width // 4, 2, _MIX_2)[2].view(np.int64))
                 n[i] += y + 1 - x
         empty = [np.zeros(0, np.int64)]
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(pos or empty).astype(np.int32)), pa.array(np.concatenate(h or empty))], names=["pos", "h"])
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(pos or empty).astype(np.int32)), pa.array(np.concatenate(h or empty)), pa.array(np.concatenate(g or empty))], names=["pos", "h", "g"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), values)
 
-    return texts.select("key", F.inline(F.arrow_udf(windows, ArrayType(_WINDOW))("text", "ranges")))
+    return texts.select(F.col("doc_id").alias("key"), F.inline(F.arrow_udf(windows, ArrayType(_WINDOW))("text", "ranges")))
 
 
 _SPAN = StructType([StructField("start_pos", LongType()), StructField("end_pos", LongType())])
@@ -224,8 +242,8 @@ def shared_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         raise ValueError("width must be a multiple of 4, at least 8")
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     w = window_rows(docs, candidate_starts(docs, width), width)
-    shared = _in_several(w.select("h", "key"), "h")
-    places = w.join(shared, "h").groupBy("key").agg(F.collect_list("pos").alias("places"))
+    shared = _in_several(w.select("h", "g", "key"), "h", "g")
+    places = w.join(shared, ["h", "g"]).groupBy("key").agg(F.collect_list("pos").alias("places"))
 
     def runs(lists: pa.Array) -> pa.Array:
         ends = lists.offsets.to_numpy()
@@ -242,9 +260,10 @@ def shared_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         values = pa.StructArray.from_arrays([pa.array(np.concatenate(start or empty)), pa.array(np.concatenate(stop or empty))], names=["start_pos", "end_pos"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n or [0]))).astype(np.int32)[: len(lists) + 1]), values)
 
-    spans = places.select("key", F.arrow_udf(runs, ArrayType(_SPAN))("places").alias("spans"))
-    own = docs.where(F.length("text") >= width).select("doc_id", F.xxhash64("text").alias("key"), F.length("text").cast("long").alias("n"))
-    copies = own.groupBy("key").agg(F.count("*").alias("n_docs"))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start_pos"), F.col("n").alias("end_pos")))
-    out = own.join(copies, "key").join(spans, "key", "left").select("doc_id", F.when(F.col("n_docs") > 1, whole).otherwise(F.col("spans")).alias("spans"))
+    spans = places.select(F.col("key").alias("first_doc"), F.arrow_udf(runs, ArrayType(_SPAN))("places").alias("spans"))
+    own = _identity(docs, width)
+    copies = own.groupBy(*_COPY).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    found = copies.join(spans, "first_doc", "left").where("n_docs > 1 or spans is not null")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start_pos"), F.col("n").cast("long").alias("end_pos")))
+    out = own.join(found, list(_COPY)).select("doc_id", F.when(F.col("n_docs") > 1, whole).otherwise(F.col("spans")).alias("spans"))
     return out.select("doc_id", F.inline("spans"))

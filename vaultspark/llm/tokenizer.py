@@ -5,6 +5,10 @@ piece, its bytes' ids padded to the width of its length bucket. In each round ev
 least rank: the ranks of neighbouring pairs come from a hashed table of all pairs that the vocabulary joins, and rows are
 compacted by one column. Rows without a pair left are finished. Pieces recur, so each worker keeps the ids of the pieces
 it has met, up to a fixed number; what is kept never changes a result.
+
+A long piece, such as a run of Chinese or Thai, which have no blanks, is cut first wherever no token of the vocabulary can lie
+across: a token over a place holds the two bytes beside it and, unless these are the whole token, three bytes around it, so where
+no token has them no merge ever joins the two sides, and each side's merges are the same with and without the other.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes are rare (long runs of one sign); a heap merges them in n log n instead of n squared.
-WIDEST = 256
+#: Parts of more bytes, which no place without a token across ends, are merged by a heap in n log n instead of n squared.
+WIDEST = 512
+#: Pieces of more bytes are cut where no token can lie across; shorter ones are cheap as they are.
+LONG = 32
 KEEP = 400_000
-_BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, WIDEST)
+_BUCKETS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256, WIDEST)
 
 
 class PairTable:
@@ -76,10 +82,36 @@ class Encoder:
         left, right, merged = (np.array(c, np.int32) for c in zip(*pairs))
         self.table = PairTable(left, right, merged)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.joins = dict(zip(zip(left.tolist(), right.tolist()), merged.tolist()))
+        self._learn_neighbours(list(ranks))
         self.split = regex.compile(pattern).findall
         self.keep = keep
         self._forget()
 
+    def _learn_neighbours(self, tokens: list[bytes]) -> None:
+        """Which two bytes are a token, and which three lie side by side in some token."""
+        self.pair = np.zeros(1 << 16, bool)
+        self.three = np.zeros(1 << 24, bool)
+        two = np.frombuffer(b"".join([t for t in tokens if len(t) == 2]), np.uint8).astype(np.int64)
+        self.pair[(two[::2] << 8) | two[1::2]] = True
+        flat = np.frombuffer(b"".join(tokens), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(t) for t in tokens])
+        inside = np.ones(len(flat), bool)
+        inside[np.concatenate([ends - 1, ends[np.diff(ends, prepend=0) > 1] - 2])] = False  # no three bytes begin at a token's last two
+        at = np.flatnonzero(inside[: len(flat) - 2])
+        self.three[(flat[at] << 16) | (flat[at + 1] << 8) | flat[at + 2]] = True
+
+    def _cut(self, piece: bytes) -> list[bytes]:
+        """A piece in parts between which no token can lie."""
+        b = np.frombuffer(piece, np.uint8).astype(np.int64)
+        two = (b[:-1] << 8) | b[1:]
+        three = self.three[(two[:-1] << 8) | b[2:]]
+        across = self.pair[two]
+        across[:-1] |= three  # the place between bytes i and i + 1, with the byte after them
+        across[1:] |= three  # and with the byte before
+        places = np.concatenate(([0], np.flatnonzero(~across) + 1, [len(piece)])).tolist()
+        return [piece[i:j] for i, j in zip(places, places[1:])]
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
@@ -125,12 +157,13 @@ class Encoder:
         first = self.table.find(np.array(ids[:-1]), np.array(ids[1:]))
         heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != _NONE]
         heapq.heapify(heap)
+        joins = self.joins.get
 
         def push(i: int) -> None:
             j = nxt[i] if i >= 0 else n
             if j < n:
-                r = int(self.table.find(np.array([ids[i]]), np.array([ids[j]]))[0])
-                if r != _NONE:
+                r = joins((ids[i], ids[j]))
+                if r is not None:
                     heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
         while heap:
@@ -146,11 +179,8 @@ class Encoder:
             push(i)
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not met before, by buckets of length, and keep their ids."""
-        if len(self.index) + len(pieces) > self.keep:
-            self._forget()
-        raw = [p.encode("utf-8", "replace") for p in pieces]
+    def _merge_all(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each of several byte strings, by buckets of length."""
         sizes = np.array([len(b) for b in raw])
         done: list = [None] * len(raw)
         low = 0
@@ -167,6 +197,23 @@ class Encoder:
             low = wide
         for i in np.flatnonzero(sizes > WIDEST):
             done[i] = self._merge_long(raw[i])
+        return done
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces not met before and keep their ids. Equal parts of long pieces are merged once."""
+        if len(self.index) + len(pieces) > self.keep:
+            self._forget()
+        raw = [p.encode("utf-8", "replace") for p in pieces]
+        parts = {i: self._cut(b) for i, b in enumerate(raw) if len(b) > LONG}
+        number = {b: k for k, b in enumerate(dict.fromkeys([b for ps in parts.values() for b in ps]))}
+        short = [i for i in range(len(raw)) if i not in parts]
+        merged = self._merge_all([raw[i] for i in short] + list(number))
+        done: list = [None] * len(raw)
+        for i, ids in zip(short, merged):
+            done[i] = ids
+        ids_of = merged[len(short) :]
+        for i, ps in parts.items():
+            done[i] = np.concatenate([ids_of[number[b]] for b in ps]) if len(ps) > 1 else ids_of[number[ps[0]]]
         known, new = len(self.index), len(pieces)
         lengths = np.array([len(x) for x in done], np.int64)
         flat = np.concatenate(done)
