@@ -32,8 +32,13 @@ def bm25(docs: DataFrame, query: str, n: int = CANDIDATES, id: str = "doc_id", t
     if not terms:
         return tf.select(F.col("id").alias(id), F.lit(0.0).alias("score")).where("false")
     stats = tf.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]).alias("s")).scalar()
-    held = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    hit = tf.where(F.col("in_scope") & (_all(held) if every else _some(held))).withColumn("s", stats)
+    return scored(tf.where("in_scope").select(F.col("id").alias("id"), "dl", *[f"tf{i}" for i in range(len(terms))]), stats, len(terms), every, id, n)
+
+
+def scored(tf: DataFrame, stats: Column, terms: int, every: bool, id: str, n: int) -> DataFrame:
+    """(id, score), the n best of rows (id, dl, tf0, tf1, ...); stats: a struct with n, avg and the document frequencies df0, df1, ..."""
+    held = [F.col(f"tf{i}") > 0 for i in range(terms)]
+    hit = tf.where(_all(held) if every else _some(held)).withColumn("s", stats)
 
     def part(i: int) -> Column:
         df, f = F.col(f"s.df{i}"), F.col(f"tf{i}").cast("double")
@@ -41,7 +46,7 @@ def bm25(docs: DataFrame, query: str, n: int = CANDIDATES, id: str = "doc_id", t
         idf = F.when(F.col("s.n") - df + 0.5 > df + 0.5, idf).otherwise(1e-6)
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("s.avg")))
 
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
+    score = sum((part(i) for i in range(1, terms)), part(0))
     return hit.select(F.col("id").alias(id), F.round(score, 6).alias("score")).orderBy(F.desc("score"), id).limit(n)
 
 
@@ -87,8 +92,8 @@ def knn(rows: DataFrame, query: Column, n: int = CANDIDATES, id: str = "vec_id",
 def knn_many(rows: DataFrame, queries: DataFrame, n: int = 10, id: str = "vec_id", embedding: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, id, distance, rank): the n nearest rows of each query, the query's own row left out. Exact.
 
-    Rows and queries are put in blocks of about `block` vectors; each pair of blocks is one matrix product that keeps n rows per
-    query, so what is shuffled is n rows per query and block, not all pairs. Ties are cut by id. Null vectors don't count.
+    Rows and queries are put in blocks of about `block` vectors (by hash, so near that size); each pair of blocks is one matrix
+    product, and the exact distances of the few rows near the n-th decide. n rows per query are kept, so what is shuffled is n rows per query and block, not all pairs. Ties are cut by id. Null vectors don't count.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -101,12 +106,17 @@ def knn_many(rows: DataFrame, queries: DataFrame, n: int = 10, id: str = "vec_id
             out = []
             for q_ids, q_vs, r_ids, r_vs in zip(pdf.q_ids, pdf.q_vs, pdf.r_ids, pdf.r_vs):
                 q, r, ids = np.stack(q_vs), np.stack(r_vs), np.asarray(r_ids)
+                # The product of the blocks gives distances but for rounding; of those near enough the exact ones decide.
+                near = (q * q).sum(1)[:, None] - 2 * (q @ r.T) + (r * r).sum(1)
+                near[np.asarray(q_ids)[:, None] == ids] = np.inf
+                most = min(n, len(ids)) - 1
+                edge = np.partition(near, most, axis=1)[:, most] if len(ids) else np.zeros(len(q))
+                slack = 1e-9 * (1 + (q * q).sum(1) + (r * r).sum(1).max(initial=0)) + 2e-6 * (1 + np.sqrt(np.maximum(np.where(np.isfinite(edge), edge, 0), 0)))
                 for k, one in enumerate(q):
-                    d = np.round(np.sqrt(((r - one) ** 2).sum(1)), 6)
-                    d[ids == q_ids[k]] = np.inf
-                    best = np.lexsort((ids, d))[:n]
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query_id": q_ids[k], id: ids[best], "distance": d[best]}))
+                    close = np.flatnonzero((near[k] <= edge[k] + slack[k]) & np.isfinite(near[k]))
+                    d = np.round(np.sqrt(((r[close] - one) ** 2).sum(1)), 6)
+                    best = np.lexsort((ids[close], d))[:n]
+                    out.append(pd.DataFrame({"query_id": q_ids[k], id: ids[close][best], "distance": d[best]}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], id: [], "distance": []})
 
     kind = rows.schema[id].dataType.simpleString()

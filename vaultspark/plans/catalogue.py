@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from vaultspark.functions import text as tx
 from vaultspark.operators import browse, mutate, rules, search, telemetry, versions
 from vaultspark.operators import predicates as pr
+from vaultspark.operators.index import SearchIndex
 from vaultspark.sources import formats
+from vaultspark.session import shared_folder
 from vaultspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -300,19 +302,51 @@ def corpus_stats(spark, d):
     return search.corpus_statistics(docs(spark, d))
 
 
+_BUILT: dict[tuple[str, str], SearchIndex] = {}
+
+
+def built(spark, d) -> SearchIndex:
+    """The index of this folder's documents, made once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = SearchIndex.build(docs(spark, d), shared_folder(spark, "index"), keep=("lang",))
+    return _BUILT[key]
+
+
+@query(f"WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT (SELECT count(*) FROM t) AS n_docs, (SELECT CAST(sum(len(t)) AS BIGINT) FROM t) AS n_tokens, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM t)")
+def search_index_build(spark, d):
+    """Builds the stored index anew; the queries below read it."""
+    _BUILT.pop((spark.sparkContext.applicationId, d), None)
+    i = built(spark, d)
+    p = i.part("postings").agg(F.count("*").alias("n_postings"), F.countDistinct("term").alias("n_terms"))
+    return i.part("statistics").crossJoin(p)  # one row each
+
+
+@query(f"SELECT w AS term, doc_id, len(list_filter(t, lambda x: x = w)) AS tf, len(t) AS dl FROM (SELECT doc_id, {_TOK} AS t FROM documents), (SELECT unnest(['ranking', 'kiln', 'der']) AS w) WHERE list_contains(t, w)")
+def index_postings(spark, d):
+    """The postings of three terms, as they are stored."""
+    return built(spark, d).part("postings").where(F.col("term").isin("ranking", "kiln", "der")).select("term", F.col("id").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+
+
+@query(f"WITH {_bm25_sql(['sensor', 'kiln', 'budget'], False)} SELECT * FROM lex")
+def bm25_scan(spark, d):
+    """Without an index: the texts are read and counted."""
+    return search.bm25(docs(spark, d), "sensor kiln budget")
+
+
 @query(f"WITH {_bm25_sql(['ranking', 'quota'], True)} SELECT * FROM lex")
 def bm25_and(spark, d):
-    return search.bm25(docs(spark, d), "ranking quota")
+    return built(spark, d).bm25("ranking quota")
 
 
 @query(f"WITH {_bm25_sql(['sensor', 'kiln', 'echeance', 'archiv'], False)} SELECT * FROM lex")
 def bm25_or(spark, d):
-    return search.bm25(docs(spark, d), "sensor kiln échéance Archiv")
+    return built(spark, d).bm25("sensor kiln échéance Archiv")
 
 
 @query(f"WITH {_bm25_sql(['sensor', 'kiln', 'budget'], False, 24, 'lang = ' + chr(39) + 'en' + chr(39))} SELECT * FROM lex")
 def bm25_folder(spark, d):
-    return search.bm25(docs(spark, d), "sensor kiln budget", scope=F.coalesce(F.col("lang") == "en", F.lit(False)))
+    return built(spark, d).bm25("sensor kiln budget", scope=F.coalesce(F.col("lang") == "en", F.lit(False)))
 
 
 _DIST = "round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 6)"
@@ -349,10 +383,8 @@ f AS (SELECT doc_id, coalesce(1.0::DOUBLE / (60 + ra), 0) + coalesce(1.0::DOUBLE
 
 
 def _two(spark, d):
-    dd = docs(spark, d)
-    lex = search.ranked(search.bm25(dd, _QUERY, 32), F.desc("score"), "doc_id")
-    vec = search.with_vectors(dd)
-    return lex, search.ranked(search.knn(vec, search.embed(F.lit(_QUERY)), 32, "doc_id", "_v"), "distance", "doc_id")
+    i = built(spark, d)
+    return search.ranked(i.bm25(_QUERY, 32), F.desc("score"), "doc_id"), search.ranked(i.knn(search.embed(F.lit(_QUERY)), 32), "distance", "doc_id")
 
 
 @query(f"WITH {_FUSED} SELECT * FROM fused")
@@ -362,18 +394,24 @@ def rrf_fusion(spark, d):
 
 @query(f"WITH {_FUSED} SELECT doc_id, score FROM fused ORDER BY score DESC, doc_id LIMIT 8")
 def hybrid_search(spark, d):
+    return built(spark, d).hybrid(_QUERY)
+
+
+@query(f"WITH {_FUSED} SELECT doc_id, score FROM fused ORDER BY score DESC, doc_id LIMIT 8")
+def hybrid_scan(spark, d):
+    """Without an index: texts are counted and embedded as they are read."""
     return search.hybrid(docs(spark, d), _QUERY)
 
 
 @query(f"WITH {_FUSED}, h AS (SELECT doc_id, score FROM fused ORDER BY score DESC, doc_id LIMIT 8) SELECT h.doc_id, h.score, d.lang, d.source, d.path FROM h LEFT JOIN documents d USING (doc_id)")
 def hydrate_left_join(spark, d):
-    hits = search.hybrid(docs(spark, d), _QUERY)
+    hits = built(spark, d).hybrid(_QUERY)
     return hits.join(docs(spark, d).select("doc_id", "lang", "source", "path"), "doc_id", "left")
 
 
 @query(f"WITH {_LEX}, h AS (SELECT doc_id, length(text)::DOUBLE AS s FROM lex JOIN documents USING (doc_id)) SELECT doc_id, round(CASE WHEN max(s) OVER () > min(s) OVER () THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) ELSE 1 END, 6) AS score FROM h ORDER BY score DESC, doc_id LIMIT 10")
 def rerank_minmax(spark, d):
-    hits = search.bm25(docs(spark, d), _QUERY, 32).select("doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = built(spark, d).bm25(_QUERY, 32).select("doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id")
     return search.rerank(hits, F.length("text"), 10, "doc_id")
 
 
@@ -383,14 +421,14 @@ def _lang_sql(lang: str) -> str:
 
 @query(f"SELECT doc_id, max(score) AS score FROM (SELECT * FROM {_lang_sql('en')} UNION ALL SELECT * FROM {_lang_sql('de')} UNION ALL SELECT * FROM {_lang_sql('fr')}) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10")
 def fan_out_merge(spark, d):
-    per = [search.bm25(docs(spark, d), "sensor archiv budget", 12, scope=F.coalesce(F.col("lang") == x, F.lit(False))) for x in ("en", "de", "fr")]
+    per = [built(spark, d).bm25("sensor archiv budget", 12, scope=F.coalesce(F.col("lang") == x, F.lit(False))) for x in ("en", "de", "fr")]
     best = F.max("score").over(Window.partitionBy(F.lit(0)))
     return search.fan_out([r.select("doc_id", F.round(F.col("score") / best, 6).alias("score")) for r in per], 10, id="doc_id")
 
 
 @query(f"WITH {_LEX} SELECT doc_id, score, true AS has_more FROM lex ORDER BY score DESC, doc_id LIMIT 5 OFFSET 5")
 def page_has_more(spark, d):
-    return search.page(search.bm25(docs(spark, d), _QUERY, 32), 5, 5, F.desc("score"), "doc_id")
+    return search.page(built(spark, d).bm25(_QUERY, 32), 5, 5, F.desc("score"), "doc_id")
 
 
 @query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.label::VARCHAR || '/' || e.vec_id AS path, CASE WHEN q.vec_id % 200 = 0 THEN q.label::VARCHAR || '/' ELSE q.label::VARCHAR || '/' || (q.vec_id + 10) END AS expect, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
@@ -419,7 +457,7 @@ def ref_search(spark, d):
 c AS (SELECT doc_id, ws, i, len(list_filter(list_slice(ws, i, i + 23), lambda x: len(list_intersect(regexp_extract_all(translate(lower(x), '{tx.ACCENTED}', '{tx.FOLDED}'), '[\\p{{L}}\\p{{N}}]+'), ['sensor', 'kiln', 'budget'])) > 0)) AS n FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 23, 1) + 1)) AS i FROM w))
 SELECT doc_id, array_to_string(list_slice(ws, i, i + 23), ' ') AS snippet FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1""")
 def snippets(spark, d):
-    hits = search.bm25(docs(spark, d), "sensor kiln budget", 10).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    hits = built(spark, d).bm25("sensor kiln budget", 10).join(docs(spark, d).select("doc_id", "text"), "doc_id")
     return hits.select("doc_id", tx.snippet(F.col("text"), ["sensor", "kiln", "budget"]).alias("snippet"))
 
 
@@ -820,7 +858,6 @@ def merge_sections(spark, d):
 @query(ORACLES["debounce_sessions"])
 def stream_debounce_available_now(spark, d):
     """The debounce over events as a stream, run to its end; a last touch of a key of its own closes all runs."""
-    from vaultspark.session import shared_folder
     from vaultspark.streaming.debounce import closing_touch, quiet_periods
 
     events, folder = table(spark, d, "events").select("user_id", "ts"), shared_folder(spark, "debounce")
