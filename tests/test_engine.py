@@ -268,3 +268,57 @@ def test_every_query_has_a_stable_schema(spark, small):
     for name, f in queries.items():
         if name not in ("p1_table", "stream_debounce_available_now"):
             assert f(spark, small).columns, name
+
+
+def test_stored_index_finds_what_a_scan_finds(spark, tmp_path):
+    notes = spark.createDataFrame([(f"{'mermaid-catalog' if i % 2 else 'p'}/n{i}/diagram.mmd" if i % 5 == 0 else f"p/n{i}.md", float(i), f"# Note {i}\nsensor {'kiln ' * (i % 4)}x{i}") for i in range(12)], "path string, mtime double, text string")
+    scan, stored = Engine(notes), Engine(notes)
+    stored.build_index(str(tmp_path / "index"))
+    for query, options in (("sensor kiln", {}), ("kiln", {"offset": 2}), ("sensor", {"folder": "p"}), ("sensor", {"exclude": ["p/n1*"]}), ("diagram note", {"folder": "mermaid-catalog"}), ("nowhere", {})):
+        want = [tuple(r) for r in scan.search(query, 3, **options).collect()]
+        assert [tuple(r) for r in stored.search(query, 3, **options).collect()] == want
+    again = Engine(notes)
+    again.open_index(str(tmp_path / "index"))
+    assert [r["path"] for r in again.search("kiln", 2).collect()] == [r["path"] for r in scan.search("kiln", 2).collect()]
+
+
+def test_index_of_odd_texts(spark, tmp_path):
+    from vaultspark.operators.index import SearchIndex, term_counts
+
+    rows = [(1, None), (2, ""), (3, "a a B é e"), (4, "b " * 3000 + "a"), (5, "!!!")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["dl"], r["term"], r["tf"]) for r in term_counts(d, "text", "doc_id").collect()} == {(3, 5, "a", 2), (3, 5, "b", 1), (3, 5, "e", 2), (4, 3001, "a", 1), (4, 3001, "b", 3000)}
+    i = SearchIndex.build(d, str(tmp_path / "i"))
+    assert i.part("statistics").first()["n_docs"] == 5 and {r["id"] for r in i.part("vectors").collect()} == {2, 3, 4, 5}
+    for q in ("ee bb", "aa", "", "é"):
+        assert i.bm25(q).collect() == search.bm25(d, q).collect()
+    assert SearchIndex.build(d.where("false"), str(tmp_path / "none")).hybrid("aa bb").count() == 0
+
+
+def test_reconcile_and_rebuild(spark, tmp_path):
+    index = str(tmp_path / "index")
+    notes = spark.createDataFrame([("a.md", "# A\nx"), ("b.md", "# B\ny"), ("c.md", "")], "path string, text string")
+    assert {(r["op"], r["path"]) for r in reindex.reconcile(notes, index).collect()} == {("index", "a.md"), ("index", "b.md")}
+    reindex.index_batch(reindex.reconcile(notes, index), index, buckets=4)
+    assert reindex.reconcile(notes, index).count() == 0
+    later = spark.createDataFrame([("a.md", "# A\nx"), ("b.md", "# B\nz"), ("d.md", "# D")], "path string, text string")
+    changes = reindex.reconcile(later.where("path <> 'a.md'"), index)
+    assert {(r["op"], r["path"]) for r in changes.collect()} == {("purge", "a.md"), ("index", "b.md"), ("index", "d.md")}
+    batch = changes.unionByName(spark.createDataFrame([("rebuild", None, None, None)], reindex.CHANGE))
+    reindex.index_batch(batch, index, buckets=4, notes=lambda: later)
+    assert {r["path"] for r in spark.read.parquet(index).select("path").distinct().collect()} == {"a.md", "b.md", "d.md"}
+    assert reindex.reconcile(later, index).count() == 0
+
+
+def test_diagrams_by_a_scanner():
+    d = mermaid.parse("graph TD\nsubgraph s1 [\"The group\"]\nA[[q]] ---|a b| B((x))\nC[(db)] === D{y}\nend\nsubgraph two\nE ----> F>flag]\nG -- H\nI --> J --> K\nL[open\nend\n%% M --> N\nP")
+    assert [(n[0], n[1], n[2]) for n in d["nodes"]] == [("A", "q", "The group"), ("B", "x", "The group"), ("C", "db", "The group"), ("D", "y", "The group"), ("E", "E", "two"), ("F", "flag", "two"), ("G", "G", "two"), ("H", "H", "two"), ("P", "P", "")]
+    assert [e[:3] for e in d["edges"]] == [("A", "B", "a b"), ("C", "D", ""), ("E", "F", ""), ("G", "H", "")] and d["groups"] == ["The group", "two"] and d["direction"] == "TD"
+    s = mermaid.parse("sequenceDiagram\nparticipant A as \"Al\"\nparticipant b-c\nA->>b-c: one: two\nb-c --> A\nx y->z\nparticipant d as")
+    assert [e[:3] for e in s["edges"]] == [("A", "b-c", "one: two"), ("b-c", "A", "")] and [n[:2] for n in s["nodes"]] == [("A", "Al"), ("b-c", "b-c")]
+
+
+def test_backlinks_of_shared_names(spark):
+    l = spark.createDataFrame([("s1.md", 1, "readme", "readme", "t"), ("s1.md", 1, "readme", "readme", "t"), ("s2.md", 2, "a/readme", "readme", "t"), ("a/readme.md", 3, "readme", "readme", "t"), (None, 1, "readme", "readme", "t"), ("s1.md", 4, "x.txt", "x.txt", "t"), ("s1.md", 5, "x", "x", "t")], "source string, line int, key string, stem string, text string")
+    n = spark.createDataFrame([("a/readme.md",), ("b/readme.md",), ("x.txt",), ("lone.md",), (None,)], "path string")
+    assert {tuple(r) for r in browse.backlink_counts(l, n).collect()} == {("a/readme.md", 2, 2), ("b/readme.md", 3, 3), ("x.txt", 2, 1)}

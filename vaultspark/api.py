@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions.text import index_text
 from vaultspark.operators import browse, mutate, predicates, rules, search, telemetry
+from vaultspark.operators.index import SearchIndex
 from vaultspark.sources import formats, vault
 
 
@@ -19,6 +20,8 @@ class Engine:
         self.chunks = chunks if chunks is not None else formats.chunk_rows(notes)
         raw = notes.select("path", "mtime", formats.frontmatter("text", "path").alias("frontmatter"))
         self.catalog = predicates.catalog(raw)
+        self.stored: SearchIndex | None = None
+        self.skipped: DataFrame | None = None
 
     @classmethod
     def from_folder(cls, spark: SparkSession, root: str, **options: str) -> Engine:
@@ -26,8 +29,23 @@ class Engine:
 
     @classmethod
     def from_git(cls, spark: SparkSession, root: str, ref: str) -> Engine:
-        """The notes as they were at a ref."""
-        return cls(vault.read_tree(spark, root, ref).where("text is not null").select("path", "mtime", "text"))
+        """The notes as they were at a ref. Notes too large to be read (see read_tree) are in skipped: (path, oid)."""
+        tree = vault.read_tree(spark, root, ref)
+        engine = cls(tree.where("text is not null").select("path", "mtime", "text"))
+        engine.skipped = tree.where("text is null").select("path", "oid")
+        return engine
+
+    def _indexed(self) -> DataFrame:
+        return self.chunks.withColumn("text", index_text(F.col("text"), F.col("chunk_kind")))
+
+    def build_index(self, folder: str, embedding: str | None = None) -> SearchIndex:
+        """Write a stored index of the chunks; searches use it from then on, as they do one that was opened."""
+        self.stored = SearchIndex.build(self._indexed(), folder, "chunk_hash", "text", ("path", "chunk_kind"), embedding)
+        return self.stored
+
+    def open_index(self, folder: str) -> SearchIndex:
+        self.stored = SearchIndex(self.spark, folder, "chunk_hash")
+        return self.stored
 
     def filter_notes(self, where: dict | None = None, **options) -> DataFrame:
         return predicates.filter_notes(self.catalog, where, **options)
@@ -35,8 +53,16 @@ class Engine:
     def search(self, query: str, k: int = 5, offset: int = 0, folder: str | None = None, exclude: list[str] | None = None, **options) -> DataFrame:
         """(chunk_hash, score, path, heading, text, chunk_kind, start_line, end_line, has_more), best first."""
         scope = predicates.in_folder(F.col("path"), folder) & ~predicates.excluded(F.col("path"), exclude)
-        indexed = self.chunks.withColumn("text", index_text(F.col("text"), F.col("chunk_kind")))
-        top = search.hybrid(indexed, query, k + offset + 1, "chunk_hash", "text", scope=scope, **options)
+        wanted, diagrams = k + offset + 1, search.has_catalog(folder)
+        options = {"pools": search.pools(wanted, bool(exclude), bool(folder), 1 << 31)} | options
+        take = sum(options["pools"]) if diagrams else wanted
+        if self.stored is not None:
+            top = self.stored.hybrid(query, take, scope, **options)
+        else:
+            top = search.hybrid(self._indexed(), query, take, "chunk_hash", "text", scope=scope, **options)
+        if diagrams:  # boosted scores have another order, so all candidates are boosted before the page is cut
+            own = top.join(self.chunks.select("chunk_hash", "path", "chunk_kind"), "chunk_hash")
+            top = own.select("chunk_hash", F.round(search.catalog_boost(F.col("score"), F.col("path"), F.col("chunk_kind"), folder), 6).alias("score")).orderBy(F.desc("score"), "chunk_hash").limit(wanted)
         page = search.page(top, k, offset, F.desc("score"), "chunk_hash")
         return page.join(self.chunks.select("chunk_hash", "path", "heading", "text", "chunk_kind", "start_line", "end_line"), "chunk_hash").orderBy(F.desc("score"), "chunk_hash")
 

@@ -138,19 +138,19 @@ def ranked(top: DataFrame, *order) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
 
 
-def hybrid(docs: DataFrame, query: str, k: int = 8, id: str = "doc_id", text: str = "text", n: int = CANDIDATES, scope: Column | None = None, query_vector: list[float] | None = None, embedding: str | None = None, lexical_only: bool = False, vector_only: bool = False) -> DataFrame:
-    """(id, score): BM25 and vectors, n candidates each, fused, the best k. One lazy plan.
+def hybrid(docs: DataFrame, query: str, k: int = 8, id: str = "doc_id", text: str = "text", n: int = CANDIDATES, scope: Column | None = None, query_vector: list[float] | None = None, embedding: str | None = None, lexical_only: bool = False, vector_only: bool = False, pools: tuple[int, int] | None = None) -> DataFrame:
+    """(id, score): BM25 and vectors, n candidates each (or as many as pools says), fused, the best k. One lazy plan.
 
     Without an embedding column and a query vector the deterministic embedder stands in. lexical_only is what remains when
     a query can't be embedded.
     """
-    pool = max(n, 4 * k)
+    few, near = pools or (max(n, 4 * k),) * 2
     if not vector_only:
-        lexical = ranked(bm25(docs, query, pool, id, text, scope), F.desc("score"), id).select(id, "rank")
+        lexical = ranked(bm25(docs, query, few, id, text, scope), F.desc("score"), id).select(id, "rank")
     if not lexical_only:
         vectors = docs if embedding else with_vectors(docs, text)
         q = vector(query_vector) if query_vector is not None else embed(F.lit(query))
-        dense = ranked(knn(vectors, q, pool, id, embedding or "_v", scope), "distance", id).select(id, "rank")
+        dense = ranked(knn(vectors, q, near, id, embedding or "_v", scope), "distance", id).select(id, "rank")
     none = docs.select(id, F.lit(0).alias("rank")).where("false")
     return fuse(none if vector_only else lexical, none if lexical_only else dense, id).orderBy(F.desc("score"), id).limit(k)
 
@@ -181,9 +181,14 @@ def page(ranking: DataFrame, k: int, offset: int, *order) -> DataFrame:
     return top.withColumn("rn", F.row_number().over(w)).withColumn("has_more", n > k + offset).where((F.col("rn") > offset) & (F.col("rn") <= k + offset)).drop("rn")
 
 
+def has_catalog(folder: str | None) -> bool:
+    """Whether a folder is a diagram catalog or lies in one."""
+    return "mermaid-catalog" in (folder or "")
+
+
 def catalog_boost(score: Column, path: Column, kind: Column, folder: str) -> Column:
     """Scores below a diagram catalog: diagrams and their chunks count more, their pages less."""
-    if "mermaid-catalog" not in folder:
+    if not has_catalog(folder):
         return score
     diagram = kind.isin("mermaid_file", "mermaid_header", "mermaid_node", "mermaid_edge")
     pages = path.contains("/pages/")

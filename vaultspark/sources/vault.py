@@ -103,7 +103,26 @@ def list_refs(spark: SparkSession, root: str, limit: int = 200) -> DataFrame:
     return spark.createDataFrame(rows, "name string, oid string, ts long").dropDuplicates(["name"]).orderBy(F.desc("ts"), "name").limit(limit)
 
 
-def read_tree(spark: SparkSession, root: str, ref: str, ignore: list[str] | None = None, largest: int = 1 << 20, per_task: int = 500) -> DataFrame:
+def _last_touches(root: str, commit: str, wanted: set[str]) -> dict[str, int]:
+    """Epoch seconds of the last commit that touched each wanted path. The log is read newest first, piece by piece, and only as
+    far back as it takes to find them all."""
+    touched, when, rest = {}, 0, b""
+    with subprocess.Popen(["git", "-C", root, "log", "--format=%x01%ct", "--name-only", "-z", commit], stdout=subprocess.PIPE, env={**os.environ, "GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"}) as log:
+        while len(touched) < len(wanted):
+            more = log.stdout.read(1 << 16)
+            *parts, rest = re.split(rb"[\0\n]+", rest + more) if more else [rest, b""]
+            for part in parts:
+                if part.startswith(b"\x01"):
+                    when = int(part[1:])
+                elif (path := part.decode("utf-8", "replace")) in wanted:
+                    touched.setdefault(path, when)
+            if not more:
+                break
+        log.kill()
+    return touched
+
+
+def read_tree(spark: SparkSession, root: str, ref: str, ignore: list[str] | None = None, largest: int = 1 << 21, per_task: int = 500) -> DataFrame:
     """(tree_oid, path, oid, mtime, text) of the notes of a commit. Equal blobs are read once; those above `largest` bytes have a null text.
 
     Names and object ids come from the driver; contents are read by the tasks, in one batch each. mtime is the time of the
@@ -134,12 +153,7 @@ def read_tree(spark: SparkSession, root: str, ref: str, ignore: list[str] | None
             yield pd.DataFrame({"oid": pdf.oid, "text": texts})
 
     blobs = wanted.repartition(max(1, len(entries) // per_task)).mapInPandas(read, "oid string, text string")
-    log, touched, when = _git(root, "log", "--format=%x01%ct", "--name-only", "-z", commit).decode("utf-8", "replace"), {}, 0
-    for part in re.split(r"[\0\n]+", log):
-        if part.startswith("\x01"):
-            when = int(part[1:])
-        elif part:
-            touched.setdefault(part, when)
+    touched = _last_touches(root, commit, {e[0] for e in entries})
     tip = float(_git(root, "show", "-s", "--format=%ct", commit))
     times = spark.createDataFrame([(p, float(t)) for p, t in touched.items()] or [("", tip)], "path string, mtime double")
     return files.join(blobs, "oid", "left").join(times, "path", "left").select(F.lit(tree).alias("tree_oid"), "path", "oid", F.coalesce("mtime", F.lit(tip)).alias("mtime"), "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +20,7 @@ CHANGE = "op string, path string, ts timestamp, text string"
 
 
 def changes(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """The stream of change rows (op 'index' or 'purge', path, ts, text) that arrive as JSON files in a folder."""
+    """The stream of change rows (op 'index', 'purge' or 'rebuild', path, ts, text) that arrive as JSON files in a folder."""
     return spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", max_files).json(folder)
 
 
@@ -33,9 +35,39 @@ def last_per_path(batch: DataFrame) -> DataFrame:
     return batch.where(F.col("path").isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def index_batch(batch: DataFrame, index: str, embedder=None, buckets: int = 64, model: str = "") -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of its own file system, be it remote or local."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def reconcile(notes: DataFrame, index: str, model: str = "") -> DataFrame:
+    """Change rows (op, path, ts, text) that bring an index in line with notes (path, text): what a full scan finds that no event told.
+
+    A note is to be indexed where its chunks differ from the index's, purged where only the index has it. Only paths and hashes
+    are compared; an index that isn't there yet has nothing.
+    """
+    spark = notes.sparkSession
+    one = lambda chunks: chunks.groupBy("path").agg(F.sum(F.xxhash64("ord", "content_hash").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n"))
+    new = one(chunk_rows(notes, model=model)).select("path", F.struct("h", "n").alias("new"))
+    old = (one(spark.read.parquet(index)) if exists(spark, index) else new.where("false").select("path", "new.h", "new.n")).select("path", F.struct("h", "n").alias("old"))
+    moved = new.join(old, "path", "full").where(~F.col("new").eqNullSafe(F.col("old"))).select("path", F.when(F.col("new").isNull(), "purge").otherwise("index").alias("op"))
+    return moved.join(notes.select("path", "text"), "path", "left").select("op", "path", F.current_timestamp().alias("ts"), "text")
+
+
+def rebuild(notes: DataFrame, index: str, embedder=None, buckets: int = 64, model: str = "") -> None:
+    """Write the index of notes (path, text) anew, whatever it held."""
+    from vaultspark.operators.search import embed
+
+    rows = chunk_rows(notes, model=model)
+    write_buckets(drop_failed(rows.withColumn("embedding", (embedder or embed)(F.col("text")))), index, buckets=buckets)
+
+
+def index_batch(batch: DataFrame, index: str, embedder=None, buckets: int = 64, model: str = "", notes: Callable[[], DataFrame] | None = None) -> None:
     """Put one batch of changes into the chunk index: purged paths go, others are chunked anew.
 
+    A change with the op 'rebuild' beats all others of its batch: the index is written anew from notes(), all notes as they are.
+
     Chunks whose text the index already has for the same note keep their vector; only the others are embedded. A note of
     which a chunk can't be embedded keeps its old rows and will be indexed with its next change. Running a batch twice
     changes nothing, so a restart after a failure is safe.
@@ -44,16 +76,22 @@ def index_batch(batch: DataFrame, index: str, embedder=None, buckets: int = 64,
     from vaultspark.session import cut
 
     spark = batch.sparkSession
+    if notes is not None and not batch.where("op = 'rebuild'").isEmpty():
+        rebuild(notes(), index, embedder, buckets, model)
+        return
     last = cut(last_per_path(batch.where(~is_noise(F.col("path")))))
     new = chunk_rows(last.where("op = 'index' and text is not null"), model=model)
-    if os.path.isdir(index) or "://" in index:
-        old = spark.read.parquet(index).select("path", "content_hash", "embedding")
+    there = exists(spark, index)
+    if there:
+        # Only the buckets of the batch's notes can hold vectors for them.
+        touched = [r[0] for r in last.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")).distinct().collect()]
+        old = spark.read.parquet(index).where(F.col("bucket").isin(touched)).select("path", "content_hash", "embedding")
         kept = reuse(new, old)
     else:
         kept = new.withColumn("embedding", F.lit(None).cast("array<double>"))
     made = (embedder or embed)(F.col("text"))
     rows = cut(drop_failed(kept.withColumn("embedding", F.when(F.col("embedding").isNotNull(), F.col("embedding")).otherwise(made))))
-    if not (os.path.isdir(index) or "://" in index):
+    if not there:
         write_buckets(rows, index, buckets=buckets)
         return
     gone = last.where("op = 'purge'").select("path").unionByName(rows.select("path").distinct())
@@ -61,10 +99,10 @@ def index_batch(batch: DataFrame, index: str, embedder=None, buckets: int = 64,
     replace_keys(spark, index, rows, gone.unionByName(empty), buckets=buckets)
 
 
-def run(spark: SparkSession, incoming: str, index: str, checkpoint: str, embedder=None, every: str | None = None, buckets: int = 64) -> StreamingQuery:
+def run(spark: SparkSession, incoming: str, index: str, checkpoint: str, embedder=None, every: str | None = None, buckets: int = 64, notes: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Index changes as they come; with every=None all that is there, then stop. Offsets in the checkpoint make it exactly once
     together with the idempotent batches."""
-    writer = changes(spark, incoming).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: index_batch(b, index, embedder, buckets))
+    writer = changes(spark, incoming).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: index_batch(b, index, embedder, buckets, notes=notes))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
