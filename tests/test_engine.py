@@ -322,3 +322,45 @@ def test_backlinks_of_shared_names(spark):
     l = spark.createDataFrame([("s1.md", 1, "readme", "readme", "t"), ("s1.md", 1, "readme", "readme", "t"), ("s2.md", 2, "a/readme", "readme", "t"), ("a/readme.md", 3, "readme", "readme", "t"), (None, 1, "readme", "readme", "t"), ("s1.md", 4, "x.txt", "x.txt", "t"), ("s1.md", 5, "x", "x", "t")], "source string, line int, key string, stem string, text string")
     n = spark.createDataFrame([("a/readme.md",), ("b/readme.md",), ("x.txt",), ("lone.md",), (None,)], "path string")
     assert {tuple(r) for r in browse.backlink_counts(l, n).collect()} == {("a/readme.md", 2, 2), ("b/readme.md", 3, 3), ("x.txt", 2, 1)}
+
+
+def test_guards_and_whole_writes(spark):
+    text = "---\nt: 1\n---\n# A\nx\n# B\ny\n"
+    n = spark.createDataFrame([("a.md", 5.0, text), ("b.md", 5.0, None)], "path string, mtime double, text string")
+    h = n.where("path = 'a.md'").select(mutate.region_hashes("text").alias("r")).first()["r"]
+    assert [s["heading"] for s in h["sections"]] == ["A", "B"] and h["frontmatter"] != h["body"]
+    cases = {
+        "free": (None, None, None, None, None), "same mtime": (5.0004, "no", None, None, None), "mtime": (6.0, None, None, None, None), "front": (6.0, h["frontmatter"], None, None, None), "body": (None, None, h["body"], None, None),
+        "wrong body": (None, h["frontmatter"], "no", None, None), "section": (6.0, None, None, "B", h["sections"][1]["hash"]), "other section": (6.0, None, None, "A", h["sections"][1]["hash"]), "no section": (6.0, None, None, "C", "no"),
+    }
+    w = spark.createDataFrame([(k, "a.md", *v) for k, v in cases.items()] + [("gone", "z.md", 1.0, None, None, None, None), ("new", "z.md", None, None, None, None, None)], "k string, path string, expected_mtime double, expected_frontmatter string, expected_body string, heading string, expected_section string")
+    good = {"free", "same mtime", "front", "body", "section", "new"}
+    assert {r["k"]: r["state"] for r in mutate.guarded(n, w).collect()} == {k: "ok" if k in good else "missing" if k == "gone" else "stale" for k in [*cases, "gone", "new"]}
+    writes = w.select(F.when(F.col("k") == "new", "z").otherwise(F.col("path")).alias("path"), F.when(F.col("k") == "new", "n").otherwise("new").alias("text"), "expected_mtime", "expected_frontmatter", "expected_body", "heading", "expected_section", "k")
+    one = lambda k: [tuple(r) for r in mutate.write_whole(n, writes.where(F.col("k") == k).drop("k")).collect()]
+    assert one("free") == [("a.md", "new", "replaced")] and one("mtime") == [("a.md", text, "stale")] and one("new") == [("z.md", "n", "created")]
+    parts = spark.createDataFrame([("t: 1", [("A", 1, "x\n"), (None, None, "free"), ("B", 9, None)], " intro "), (None, None, None), ("", [], "b")], "f string, s array<struct<heading:string,level:int,text:string>>, b string")
+    assert [r[0] for r in parts.select(mutate.assembled(F.col("f"), F.col("s"), F.col("b"))).collect()] == ["---\nt: 1\n---\n\nintro\n\n# A\n\nx\n\nfree\n\n###### B\n", "", "b\n"]
+
+
+def test_appended_notes(spark):
+    n = spark.createDataFrame([("a.md", "# A\nx\n# B\ny\n"), ("b.md", "z")], "path string, text string")
+    a = spark.createDataFrame([("a", "more", "A"), ("b.md", "more", None), ("c.md", "new\n\n", None), (None, "x", None), ("d.md", None, None)], "path string, text string, heading string")
+    got = {r["path"]: (r["text"], r["result"]) for r in mutate.append_notes(n, a).collect()}
+    assert got.keys() == {"a.md", "b.md", "c.md"} and got["c.md"] == ("new\n", "created") and got["a.md"][1] == got["b.md"][1] == "ok"
+    assert got["a.md"][0].index("more") < got["a.md"][0].index("# B") and got["b.md"][0].startswith("z") and "more" in got["b.md"][0]
+    assert mutate.append_notes(n, a, create=False).where("path = 'c.md'").first()["result"] == "missing"
+    assert mutate.append_notes(n, spark.createDataFrame([("a.md", "x", "Nowhere")], a.schema)).first()["result"] == "anchor_not_found"
+
+
+def test_references_and_tests_of_paths(spark):
+    from vaultspark.functions import paths
+
+    refs = {"v:a/b.md": ("v", "a/b.md", "ok"), " v : /a ": ("v", " /a", "ok"), "w:a": ("w", "a", "bad_vault"), "a/b:c": (None, "a/b:c", "plain"), "https://x:1": (None, "https://x:1", "plain"), "/v:a": (None, "/v:a", "plain"), ":a": (None, ":a", "plain"), "": (None, "", "plain")}
+    d = spark.createDataFrame([(k,) for k in [*refs, None]], "r string")
+    assert {x["r"]: None if x["p"] is None else tuple(x["p"]) for x in d.select("r", paths.note_reference(F.col("r"), ["v"]).alias("p")).collect()} == refs | {None: None}
+    u = spark.createDataFrame([("note://v/a/b.md",), ("note://v/",), ("x",), (None,)], "u string").select(paths.note_uri(F.col("u")).alias("p")).collect()
+    assert [x["p"] and tuple(x["p"]) for x in u] == [("v", "a/b.md"), None, None, None]
+    p = spark.createDataFrame([(x,) for x in ("private/a.md", "privates/a.md", "x/secret.md", "deep/x/y.key", "./private/b", "a\\tmp\\b.md", "", None)], "p string")
+    got = {x["p"] for x in p.where(paths.never_committed(F.col("p"), ["private/", "secret*", "**/*.key", "tmp/*", ""])).collect()}
+    assert got == {"private/a.md", "x/secret.md", "deep/x/y.key", "./private/b", "a\\tmp\\b.md"}

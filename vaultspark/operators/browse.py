@@ -169,3 +169,28 @@ def containing(inner: DataFrame, outer: DataFrame, id: str) -> DataFrame:
 def folder_summary(paths: DataFrame, key: Column, top: int = 3) -> DataFrame:
     """(folder, n) of the fullest folders, ties by name."""
     return paths.groupBy(key.alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(top)
+
+
+def summary_line(paths: DataFrame, key: Column, top: int = 3) -> DataFrame:
+    """(summary,): the fullest folders with their numbers, and how many folders more there are, in one row; '' for no paths.
+
+    Only the counts of folders are put in order, never paths.
+    """
+    n = paths.groupBy(key.alias("folder")).agg(F.count("*").alias("n"))
+    best = n.orderBy(F.desc("n"), "folder").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "folder", "n"))).alias("best"))
+    more = n.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("more"))
+    j = best.crossJoin(more)  # one row each
+    bits = F.array_join(F.transform("best", lambda b: F.concat(b["folder"], F.lit(" ("), b["n"].cast("string"), F.lit(")"))), ", ")
+    return j.select(F.concat(bits, F.when(F.col("more") > 0, F.concat(F.lit(", +"), F.col("more").cast("string"), F.lit(" more"))).otherwise("")).alias("summary"))
+
+
+def folder_listing(notes: DataFrame) -> DataFrame:
+    """(folder, n, listing): each folder's notes (path, title) as a Markdown list in order of name: what its index file says.
+
+    A note without a title goes by its name. Lists are as long as a folder is full, as the file itself.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    entry = F.struct(name.alias("name"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), name).alias("title"))
+    folder = F.regexp_replace(F.regexp_extract("path", r"(?s)\A(.*/)?[^/]*\z", 1), r"/\z", "")
+    g = notes.where("path is not null").groupBy(folder.alias("folder")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(entry)).alias("e"))
+    return g.select("folder", "n", F.array_join(F.transform("e", lambda x: F.concat(F.lit("- ["), x["title"], F.lit("]("), x["name"], F.lit(")"))), "\n").alias("listing"))

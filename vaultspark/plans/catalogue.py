@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vaultspark.functions import paths
 from vaultspark.functions import text as tx
 from vaultspark.operators import browse, mutate, rules, search, telemetry, versions
 from vaultspark.operators import predicates as pr
@@ -578,6 +579,42 @@ def folder_top3(spark, d):
     return browse.folder_summary(table(spark, d, "files").select("path").distinct(), tx.folder_key(F.col("path")))
 
 
+@query("WITH f AS (SELECT coalesce(nullif(array_to_string(list_slice(string_split(path, '/')[:-2], 1, 2), '/'), ''), '.') AS folder, count(*) AS n FROM (SELECT DISTINCT path FROM files) GROUP BY 1), t AS (SELECT * FROM f ORDER BY n DESC, folder LIMIT 3) SELECT (SELECT string_agg(folder || ' (' || n || ')', ', ' ORDER BY n DESC, folder) FROM t) || (SELECT CASE WHEN count(*) > 3 THEN ', +' || (count(*) - 3) || ' more' ELSE '' END FROM f) AS summary")
+def folder_summary_line(spark, d):
+    return browse.summary_line(table(spark, d, "files").select("path").distinct(), tx.folder_key(F.col("path")))
+
+
+@query(f"WITH {_NOTES} SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, count(*) AS n, string_agg('- [' || coalesce(nullif(trim(CASE WHEN json_type(fm, '$.title') = 'VARCHAR' THEN {_STR('title')} END), ''), split_part(path, '/', -1)) || '](' || split_part(path, '/', -1) || ')', chr(10) ORDER BY split_part(path, '/', -1)) AS listing FROM notes GROUP BY 1")
+def folder_listing(spark, d):
+    title = F.when(F.schema_of_variant(pr.member(F.col("fm"), "title")) == "STRING", pr.text_of(pr.member(F.col("fm"), "title")))
+    return browse.folder_listing(notes(spark, d).select("path", title.alias("title")))
+
+
+@query("SELECT path, regexp_matches(path, '(^|/)_drafts/|^projects(/|$)|ü') AS never FROM (SELECT DISTINCT path FROM files)")
+def never_commit(spark, d):
+    return table(spark, d, "files").select("path").distinct().select("path", paths.never_committed(F.col("path"), ["**/_drafts/*", "projects/", "*ü*", " "]).alias("never"))
+
+
+@query("""SELECT call_id, CASE WHEN call_id % 4 = 3 THEN NULL ELSE CASE WHEN call_id % 4 = 2 THEN 'elsewhere' ELSE vault_id END END AS vault, note_path AS path, CASE call_id % 4 WHEN 3 THEN 'plain' WHEN 2 THEN 'bad_vault' ELSE 'ok' END AS state
+FROM tool_calls WHERE note_path IS NOT NULL AND vault_id IN (SELECT vault_id FROM vaults)""")
+def note_references(spark, d):
+    v = table(spark, d, "vaults").select("vault_id")
+    known = [r[0] for r in v.collect()]  # the registry: a row per vault
+    c = calls(spark, d).where("note_path is not null").join(v, "vault_id", "left_semi")
+    n = F.col("call_id") % 4
+    made = F.when(n == 3, F.col("note_path")).when(n == 2, F.concat(F.lit("elsewhere:"), "note_path")).when(n == 1, F.concat(F.lit(" "), "vault_id", F.lit(":/"), "note_path")).otherwise(F.concat("vault_id", F.lit(":"), "note_path"))
+    return c.select("call_id", paths.note_reference(made, known).alias("r")).select("call_id", "r.*")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# New' || chr(10) ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'replaced' WHEN doc_id % 3 = 1 THEN 'stale' ELSE 'unchanged' END AS result FROM documents WHERE text IS NOT NULL AND path IS NOT NULL AND ends_with(path, '.md') AND text <> '# New' || chr(10)""")
+def write_whole(spark, d):
+    n = docs(spark, d).where("text is not null and path is not null and endswith(path, '.md') and text <> '# New\n'").select("doc_id", "path", "text", F.lit(5.0).alias("mtime"))
+    k, none = F.col("doc_id") % 3, F.lit(None).cast("string")
+    new = F.when(k == 2, F.col("text")).otherwise(mutate.assembled(none, F.array(F.struct(F.lit("New").alias("heading"), F.lit(1).alias("level"), none.alias("text"))), none))
+    w = n.select("path", new.alias("text"), F.when(k == 1, 9.0).otherwise(5.0).alias("expected_mtime"), none.alias("expected_frontmatter"), F.when(k == 1, "other").alias("expected_body"), none.alias("heading"), none.alias("expected_section"))
+    return mutate.write_whole(n.select("path", "mtime", "text"), w).join(n.select("doc_id", "path"), "path").select("doc_id", "text", "result")
+
+
 # --- rules and lint ----------------------------------------------------------------------------------------------------
 
 RULES = [
